@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("op6_media", "op7_sharding")
+MODULES = ("op6_media", "op7_sharding", "op9_sentencepiece", "op10_quality")
 
 
 def queries() -> dict:

@@ -44,14 +44,14 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def slices(batch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of an Arrow batch whose texts have about ``limit`` bytes together."""
+def slices(batch, column: str, limit: int = SLICE_BYTES, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow batch whose texts have about ``limit`` bytes together, and ``rows`` rows at most."""
     offsets = text_offsets(batch.column(column))
     start, n = 0, len(offsets) - 1
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
-        yield start, min(stop, n)
-        start = min(stop, n)
+        stop = min(n, start + rows, max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1))
+        yield start, stop
+        start = stop
 
 
 def text_offsets(column) -> np.ndarray:
@@ -75,3 +75,39 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint8), offsets
     first = int(np.frombuffer(joined.buffers()[1], np.int64, 1, joined.offset * 8)[0]) if len(joined) else 0
     return np.frombuffer(data, np.uint8, int(offsets[-1]), first), offsets
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: each output bit depends on all input bits."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_PLACES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes for which ``inside`` holds, never across rows: a 64-bit hash, the row and the length of each."""
+    if not inside.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    run = np.cumsum(begins)[inside] - 1
+    at = np.flatnonzero(inside)
+    place = at - starts[run]
+    with np.errstate(over="ignore"):
+        # bytes 256 apart in a word share a factor, so the place's turn enters the value as well
+        value = (data[at].astype(np.uint64) + np.uint64(1) + (place >> 8).astype(np.uint64) * np.uint64(257)) * _PLACES[place & 255]
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    length = np.diff(np.append(first, len(run)))
+    with np.errstate(over="ignore"):
+        hashed = mixed(np.add.reduceat(value, first) + length.astype(np.uint64) * _MIX)
+    return hashed, np.searchsorted(offsets, starts, "right") - 1, length
