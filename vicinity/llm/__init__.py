@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("op6_media", "op7_sharding", "op9_sentencepiece", "op10_quality")
+MODULES = ("op2_licenses", "op6_media", "op7_sharding", "op8_secrets", "op9_sentencepiece", "op10_quality")
 
 
 def queries() -> dict:
