@@ -111,3 +111,64 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     with np.errstate(over="ignore"):
         hashed = mixed(np.add.reduceat(value, first) + length.astype(np.uint64) * _MIX)
     return hashed, np.searchsorted(offsets, starts, "right") - 1, length
+
+
+def groups(batches, key: str) -> Iterator:
+    """Tables of neighbouring Arrow rows with equal ``key``, across batches; the rows must come sorted by it."""
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and values[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = values[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least member of each of ``n`` nodes' components under the given links."""
+    root = np.arange(n)
+    while len(left):
+        a, b = root[left], root[right]
+        apart = a != b
+        if not apart.any():
+            break
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of undirected links between numbers: every linked ``node`` and its component's least, ``root``.
+
+    Alternates star operations over the distributed links until none changes; nothing but a checksum reaches the
+    driver. Each round's links are checkpointed.
+    """
+    links = durable(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m").distinct())
+    before = None
+    while True:
+        both = links.unionByName(links.select(F.col("m").alias("v"), F.col("v").alias("m")))
+        least = both.groupBy("v").agg(F.min("m").alias("to"))
+        # large star: higher neighbours of a node link to its least neighbour or itself
+        large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.least("to", "v").alias("m"))
+        large = large.distinct()
+        # small star: lower neighbours and the node itself link to the least of them
+        low = large.groupBy("v").agg(F.min("m").alias("to"))
+        small = large.join(low, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).unionByName(low.select("v", F.col("to").alias("m")))
+        links = durable(small.where("v > m").distinct())
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
+        if now == before:
+            break
+        before = now
+    return links.select(F.col("v").alias("node"), F.col("m").alias("root")).unionByName(links.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
