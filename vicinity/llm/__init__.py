@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("op1_winnowing", "op2_licenses", "op4_near_duplicates", "op5_mixing", "op6_media", "op7_sharding", "op8_secrets", "op9_sentencepiece", "op10_quality")
+MODULES = ("op1_winnowing", "op2_licenses", "op3_repeats", "op4_near_duplicates", "op5_mixing", "op6_media", "op7_sharding", "op8_secrets", "op9_sentencepiece", "op10_quality")
 
 
 def queries() -> dict:

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Bytes of text that a Python worker turns into numpy arrays at a time (a longer text is one slice).
 SLICE_BYTES = 1 << 20
 
@@ -39,6 +41,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in every worker."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text), F.lit(""))

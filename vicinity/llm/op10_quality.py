@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, flat_bytes, slices, whole_text, word_hashes
+from ._common import documents, flat_bytes, mapped, slices, whole_text, word_hashes
 
 #: Labelled documents that the classifier learns from, at most: those of the smallest hash of their id.
 SAMPLE = 4096
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int
                 counts = np.minimum(term_counts(part.column("_text")), np.iinfo(np.int32).max).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([x.tobytes() for x in counts], pa.binary())], ["label", "counts"])
 
-    rows = sampled(docs, labels, label, ~held_out(), size).select("_label", "_text").mapInArrow(count, "label double, counts binary").toArrow()
+    rows = mapped(sampled(docs, labels, label, ~held_out(), size).select("_label", "_text"), count, "label double, counts binary").toArrow()
     counts = np.frombuffer(b"".join(x.as_py() for x in rows.column("counts")), np.int32).reshape(-1, TERMS).astype(np.float32)
     return fit(counts, rows.column("label").to_numpy())
 
@@ -153,7 +153,7 @@ def score_texts(df: DataFrame, model: Neighbours, text: str = "text", name: str
 
     own = df.select(*(F.col(f"`{c}`") for c in kept))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields)
-    return df.select(*(F.col(f"`{c}`") for c in kept), whole_text(text).alias("_text")).mapInArrow(run, f"{fields}{name} double")
+    return mapped(df.select(*(F.col(f"`{c}`") for c in kept), whole_text(text).alias("_text")), run, f"{fields}{name} double")
 
 
 def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, durable, flat_bytes, slices, whole_text, word_hashes
+from ._common import documents, durable, flat_bytes, mapped, slices, whole_text, word_hashes
 from .op10_quality import BLANK, CLASSES, N_CLASSES
 
 DOMAINS = ("clean", "toxic", "poor")
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Domains:
                 cut = np.searchsorted(of, np.arange(len(shape) + 1))
                 yield pa.RecordBatch.from_arrays([part.column("_domain"), pa.array([np.unique(word[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([s.tobytes() for s in shape], pa.binary())], ["domain", "words", "shape"])
 
-    got = rows.select("_domain", "_text").mapInArrow(count, "domain int, words binary, shape binary").toArrow()
+    got = mapped(rows.select("_domain", "_text"), count, "domain int, words binary, shape binary").toArrow()
     pairs = [(np.frombuffer(w.as_py(), np.uint64), np.frombuffer(s.as_py(), np.float32)) for w, s in zip(got.column("words"), got.column("shape"), strict=True)]
     return fit(pairs, got.column("domain").to_numpy())
 
@@ -176,7 +176,7 @@ def with_posteriors(df: DataFrame, model: Domains, text: str = "text") -> DataFr
 
     own = df.select(*(F.col(f"`{c}`") for c in kept))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields)
-    return df.select(*(F.col(f"`{c}`") for c in kept), whole_text(text).alias("_whole")).mapInArrow(run, f"{fields}_tokens long, _posterior array<double>")
+    return mapped(df.select(*(F.col(f"`{c}`") for c in kept), whole_text(text).alias("_whole")), run, f"{fields}_tokens long, _posterior array<double>")
 
 
 @dataclass
@@ -208,7 +208,8 @@ def _totals(rows: DataFrame, plan: Plan, k: int) -> np.ndarray:
                 total += (plan.rates(p) * batch.column("_tokens").to_numpy()) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(total)], ["domain", "total"])
 
-    found = {r["domain"]: r["total"] for r in rows.select("_tokens", "_posterior").mapInArrow(run, "domain int, total double").groupBy("domain").agg(F.sum("total").alias("total")).collect()}
+    sums = mapped(rows.select("_tokens", "_posterior"), run, "domain int, total double").groupBy("domain").agg(F.sum("total").alias("total"))
+    found = {r["domain"]: r["total"] for r in sums.collect()}
     return np.array([found.get(i, 0.0) for i in range(k)])
 
 
@@ -244,7 +245,7 @@ def with_rates(rows: DataFrame, plan: Plan) -> DataFrame:
             p = _matrix(batch.column("_posterior")) if batch.num_rows else np.zeros((0, len(DOMAINS)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plan.rates(p))], [*names, "_rate"])
 
-    return rows.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields) + "_rate double")
+    return mapped(rows, run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields) + "_rate double")
 
 
 def chance(*key: str) -> Column:

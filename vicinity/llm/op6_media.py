@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, whole_text
+from ._common import documents, mapped, whole_text
 
 FRAME = 64
 FRAMES_A_GROUP = 16
@@ -197,7 +197,7 @@ def scan_media(df: DataFrame, media: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, *(x.split()[0] for x in SCAN_SCHEMA.split(", "))])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kept}, {SCAN_SCHEMA}")
+    return mapped(df, run, f"{kept}, {SCAN_SCHEMA}")
 
 
 def feature(scan: Scan) -> str:
@@ -223,7 +223,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")).mapInArrow(run, DIGEST)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), run, DIGEST)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

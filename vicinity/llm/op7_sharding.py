@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, durable, whole_text
+from ._common import documents, durable, ship, whole_text
 
 SHARDS = 24
 ROW_OVERHEAD = 8
@@ -45,6 +45,7 @@ def with_shards(df: DataFrame, key: str, n_shards: int) -> DataFrame:
     """Adds ``shard`` and ``grown_shard`` (the shard with one shard more) to every row, by ``key``."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
+    ship(df.sparkSession)
 
     @F.pandas_udf("struct<shard:int,grown_shard:int>")
     def place(keys: pd.Series) -> pd.DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, slices, whole_text
+from ._common import documents, mapped, slices, whole_text
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -260,7 +260,7 @@ def encode_texts(df: DataFrame, text: str = "text", path: str | None = None, wit
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(F.col(f"`{c}`") for c in kept)).schema.fields)
     schema = ", ".join(filter(None, (fields, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)))
-    return df.select(*(F.col(f"`{c}`") for c in kept), whole_text(text).alias("_text")).mapInArrow(run, schema)
+    return mapped(df.select(*(F.col(f"`{c}`") for c in kept), whole_text(text).alias("_text")), run, schema)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
