@@ -82,9 +82,29 @@ def hashes(chosen: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes of all hashes of two fingerprints; 1 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(1.0))
+    """Shared hashes of all hashes of two fingerprints, given as distinct hashes; 1 for two empty ones."""
+
+    def of(shared: Column) -> Column:
+        every = F.size(a) + F.size(b) - shared
+        return F.when(every > 0, shared / every).otherwise(F.lit(1.0))
+
+    return within(F.size(F.array_intersect(a, b)), of)
+
+
+def rewinnow(chosen: Column, data: Column, same: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """Chosen hashes of a text whose first ``same`` bytes are those of a text with the given chosen hashes.
+
+    Only what follows the last window within these bytes is hashed: choices move to the right with the window, so
+    what stands before that window's choice is as it was.
+    """
+    last = same - (gram + window - 1)
+
+    def spliced(tail: Column) -> Column:
+        moved = F.transform(tail, lambda s: F.struct(s["hash"].alias("hash"), (s["at"] + last).alias("at")))
+        return F.concat(F.filter(chosen, lambda s: s["at"] < F.element_at(tail, 1)["at"] + last), moved)
+
+    tail = winnow(F.substring(data, last + 1, F.octet_length(data)), gram, window)
+    return F.when(last > 0, within(tail, spliced)).otherwise(winnow(data, gram, window))
 
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
@@ -136,7 +156,8 @@ def in_ranges(df: DataFrame, key: str, tie: Column) -> tuple[DataFrame, Window]:
 
 
 def edited_texts(docs: DataFrame) -> tuple[DataFrame, Window]:
-    """Each text and what it becomes when the next one's start replaces its last quarter, in ranges of doc_id.
+    """Each text and what it becomes (``edited``, after ``same`` equal bytes) when the next one's start replaces its last
+    quarter, in ranges of doc_id.
 
     A range's guests (``_guest``) have no edited text; they stay for what follows the range in the returned order.
     """
@@ -145,14 +166,15 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, Window]:
     n = F.char_length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.left(F.col("text"), n - tail), F.left(F.coalesce(F.col("_next"), F.lit("")), tail))
-    return dealt.withColumn("_next", F.lead("text").over(order)).withColumn("edited", F.when(F.col("_guest") == 0, edited).otherwise(F.lit(""))).drop("_next"), order
+    return dealt.withColumn("_next", F.lead("text").over(order)).withColumns({"edited": F.when(F.col("_guest") == 0, edited).otherwise(F.lit("")), "same": F.when(F.col("_guest") == 0, F.octet_length(F.left(F.col("text"), n - tail))).otherwise(F.lit(0))}).drop("_next"), order
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Digests of each document's and its edited text's fingerprint, and how like it the edited and the next text are."""
     texts, order = edited_texts(docs)
     at = ["doc_id", "_range", "_guest", "_tie"]
-    prints = texts.select(*at, F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text").cast("binary")).alias("_chosen"), winnow(F.col("edited").cast("binary")).alias("_edited"))
+    prints = texts.select(*at, F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text").cast("binary")).alias("_chosen"), F.col("edited").cast("binary").alias("_data"), "same")
+    prints = prints.withColumn("_edited", rewinnow(F.col("_chosen"), F.col("_data"), F.col("same"))).drop("_data", "same")
     sets = prints.withColumns({"_own": hashes(F.col("_chosen")), "_other": hashes(F.col("_edited"))})
     # only the hashes wait for the row before; digests and the first likeness are settled here
     settled = sets.select(*at, "n_chars", "edited_sha256", _digest(F.col("_chosen")).alias("fingerprint"), _digest(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_other")).alias("near_edited"), "_own")
@@ -161,8 +183,9 @@ def compared(docs: DataFrame) -> DataFrame:
 
 
 def _digest(chosen: Column) -> Column:
-    """SHA-256 of all chosen hashes and positions."""
-    return F.sha2(F.array_join(F.transform(chosen, lambda s: F.concat_ws("@", F.hex(s["hash"]), s["at"].cast("string"))), ",").cast("binary"), 256)
+    """128 bits of all chosen hashes and positions, in hexadecimal."""
+    half = lambda seed: F.lpad(F.lower(F.hex(F.xxhash64(F.lit(seed), chosen))), 16, "0")
+    return F.concat(half(1), half(2))
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
