@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, documents, durable, flat_bytes, forest, groups, mixed, slices, whole_text, word_hashes, written
+from ._common import components, documents, durable, flat_bytes, forest, groups, mapped, mixed, slices, whole_text, word_hashes, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -104,7 +104,7 @@ def set_table(docs: DataFrame, text: str = "text", kept: tuple[str, ...] = ()) -
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("_text"), *kept)
     more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return written(rows.mapInArrow(run, SET_SCHEMA + more), "sets")
+    return written(mapped(rows, run, SET_SCHEMA + more), "sets")
 
 
 def runs_for(recall: float, similarity: float = THRESHOLD, depth: int = 3) -> int:
@@ -116,26 +116,28 @@ def runs_for(recall: float, similarity: float = THRESHOLD, depth: int = 3) -> in
 
 
 def chosen_paths(sets: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Leaves of the recursive splits of all runs: ``leaf``, ``deep`` (it is still large) and ``rid``; no leaf has one set only."""
+    """Leaves of the recursive splits of all runs: ``leaf``, ``deep`` (it is still large) and ``rid``; no leaf has one set only.
+
+    Only paths and row numbers are dealt out; signatures are looked up again for the buckets that are split on.
+    """
     # the token that a path samples next follows from the path alone
     token = lambda path: F.substring("signature", F.pmod(F.xxhash64(path, F.lit(4)), F.lit(TOKENS)).cast("int") * 4 + 1, F.lit(4))
     begun = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, F.lit(8))))
-    level = durable(sets.select("rid", "signature", begun.alias("path")).select("rid", "signature", F.xxhash64("path", token(F.col("path"))).alias("path")))
+    level = durable(sets.select("rid", "signature", begun.alias("path")).select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")))
     leaves = None
     for d in range(1, depth + 1):
-        sized = level.join(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path")
-        deep = F.lit(d == depth) & (F.col("size") > small)
-        done = sized.where(F.lit(d == depth) | (F.col("size") <= small)).select(F.col("path").alias("leaf"), deep.alias("deep"), "rid", "signature")
+        sizes = durable(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        last = d == depth
+        done = level.join(sizes if last else sizes.where(F.col("size") <= small), "path").select(F.col("path").alias("leaf"), (F.lit(last) & (F.col("size") > small)).alias("deep"), "rid")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if d == depth:
-            break
-        level = durable(sized.where(F.col("size") > small).select("rid", "signature", F.xxhash64("path", token(F.col("path"))).alias("path")))
-        if level.isEmpty():
+        large = sizes.where(F.col("size") > small)
+        if last or large.isEmpty():
             break
+        level = durable(level.join(large, "path").join(sets, "rid").select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")))
     return leaves
 
 
-def suggested(leaves: DataFrame) -> DataFrame:
+def suggested(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that span the similar sets of each leaf; sets that share a path of full depth are linked unseen."""
 
     def run(batches):
@@ -149,7 +151,7 @@ def suggested(leaves: DataFrame) -> DataFrame:
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(rid[root[own]])], ["a", "b"])
 
-    seen = leaves.where("not deep").select("leaf", "rid", "signature").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long")
+    seen = mapped(leaves.where("not deep").join(sets, "rid").select("leaf", "rid", "signature").repartition("leaf").sortWithinPartitions("leaf"), run, "a long, b long")
     deep = leaves.where("deep")
     unseen = deep.join(deep.groupBy("leaf").agg(F.min("rid").alias("b")), "leaf").select(F.col("rid").alias("a"), "b").where("a <> b")
     return seen.unionByName(unseen).distinct()
@@ -213,7 +215,7 @@ def exact_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(links[some]), pa.array(to[some])], ["rid", "links", "to"])
 
-    return members.select("unit", "side", "rid", "copies", "shingles").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "rid long, links long, to long")
+    return mapped(members.select("unit", "side", "rid", "copies", "shingles").repartition("unit").sortWithinPartitions("unit"), run, "rid long, links long, to long")
 
 
 def in_units(grouped: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -230,7 +232,7 @@ def classes(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     reps = durable(by_set)
     full = sets.select("rid", "signature", "shingles")
     signed = full.select("rid", "signature").join(reps.select("rid"), "rid")
-    pairs = suggested(chosen_paths(signed, runs_for(recall)))
+    pairs = suggested(durable(chosen_paths(signed, runs_for(recall))), signed)
     grouped = durable(components(pairs).withColumnRenamed("node", "rid"))
     near = full.select("rid", "shingles").join(grouped.select("rid"), "rid").join(reps.select("rid", "copies"), "rid")
     found = durable(exact_links(in_units(grouped).join(near, "rid")))
