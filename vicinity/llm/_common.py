@@ -24,10 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table: it is written to the shared folder and cleaned with its last reference."""
+#: Rows of a narrow table that a task writes, about.
+ROWS_A_TASK = 100_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage of a narrow table: it is written to the shared folder and cleaned with its last reference.
+
+    ``rows``, the number expected, keeps a small table from becoming a file for each of many shuffle partitions.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_TASK)))).checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -157,14 +164,14 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Connected components of undirected links between numbers: every linked ``node`` and its component's least, ``root``.
 
     Alternates star operations over the distributed links until none changes; nothing but a checksum reaches the
-    driver. Each round's links are checkpointed.
+    driver. Each round's links are checkpointed. ``rows``: links expected.
     """
-    links = durable(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m").distinct())
-    before = None
+    links = durable(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m").distinct(), rows)
+    before = links.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
     while True:
         both = links.unionByName(links.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("to"))
@@ -174,7 +181,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: lower neighbours and the node itself link to the least of them
         low = large.groupBy("v").agg(F.min("m").alias("to"))
         small = large.join(low, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).unionByName(low.select("v", F.col("to").alias("m")))
-        links = durable(small.where("v > m").distinct())
+        links = durable(small.where("v > m").distinct(), before[0])
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if now == before:
             break

@@ -115,25 +115,26 @@ def runs_for(recall: float, similarity: float = THRESHOLD, depth: int = 3) -> in
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
 
 
-def chosen_paths(sets: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def chosen_paths(sets: DataFrame, runs: int, rows: int | None = None, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """Leaves of the recursive splits of all runs: ``leaf``, ``deep`` (it is still large) and ``rid``; no leaf has one set only.
 
-    Only paths and row numbers are dealt out; signatures are looked up again for the buckets that are split on.
+    Only paths and row numbers are dealt out; signatures are looked up again for the buckets that are split on. ``rows``: sets expected.
     """
+    most = None if rows is None else rows * runs
     # the token that a path samples next follows from the path alone
     token = lambda path: F.substring("signature", F.pmod(F.xxhash64(path, F.lit(4)), F.lit(TOKENS)).cast("int") * 4 + 1, F.lit(4))
     begun = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, F.lit(8))))
-    level = durable(sets.select("rid", "signature", begun.alias("path")).select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")))
+    level = durable(sets.select("rid", "signature", begun.alias("path")).select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")), most)
     leaves = None
     for d in range(1, depth + 1):
-        sizes = durable(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        sizes = durable(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), rows)
         last = d == depth
         done = level.join(sizes if last else sizes.where(F.col("size") <= small), "path").select(F.col("path").alias("leaf"), (F.lit(last) & (F.col("size") > small)).alias("deep"), "rid")
         leaves = done if leaves is None else leaves.unionByName(done)
         large = sizes.where(F.col("size") > small)
         if last or large.isEmpty():
             break
-        level = durable(level.join(large, "path").join(sets, "rid").select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")))
+        level = durable(level.join(large, "path").join(sets, "rid").select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")), most)
     return leaves
 
 
@@ -229,18 +230,20 @@ def in_units(grouped: DataFrame, block: int = BLOCK) -> DataFrame:
 def classes(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     """For each row of a set table: its class and link count (``rid``, ``doc_id``, ``class_id``, ``n_links``, ``first`` of its class)."""
     by_set = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("rid")).alias("_least"), F.count("*").alias("copies")).select(F.col("_least.rid").alias("rid"), "set_key", "copies")
-    reps = durable(by_set)
+    n = sets.count()
+    reps = durable(by_set, n)
     full = sets.select("rid", "signature", "shingles")
     signed = full.select("rid", "signature").join(reps.select("rid"), "rid")
-    pairs = suggested(durable(chosen_paths(signed, runs_for(recall))), signed)
-    grouped = durable(components(pairs).withColumnRenamed("node", "rid"))
+    runs = runs_for(recall)
+    pairs = suggested(durable(chosen_paths(signed, runs, n), n * runs), signed)
+    grouped = durable(components(pairs, rows=n).withColumnRenamed("node", "rid"), n)
     near = full.select("rid", "shingles").join(grouped.select("rid"), "rid").join(reps.select("rid", "copies"), "rid")
     found = durable(exact_links(in_units(grouped).join(near, "rid")))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rid")
+    roots = components(found.select(F.col("rid").alias("a"), F.col("to").alias("b")), rows=n).withColumnRenamed("node", "rid")
     labelled = reps.join(counts, "rid", "left").join(roots, "rid", "left").select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rid").alias("root"))
     rows = sets.select("rid", "doc_id", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(labelled, "set_key", "left").select("rid", "doc_id", F.coalesce("root", -1 - F.col("rid")).alias("root"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    rows = durable(rows)
+    rows = durable(rows, n)
     least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_first"))
     return rows.join(least, "root").select("rid", "doc_id", "class_id", "n_links", (F.col("rid") == F.col("_first")).alias("first"))
 
