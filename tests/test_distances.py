@@ -125,3 +125,38 @@ def test_bregman_round_trip(spark):
     for kind in ("kl", "itakurasaito"):
         back = df.select(vectors.bregman_inverse_gradient(vectors.bregman_gradient(F.col("v"), kind), kind).alias("x")).first().x
         assert back == pytest.approx([0.2, 0.8])
+
+
+def _payloads(kind, r):
+    dense = [r.random() + 0.01 for _ in range(6)]
+    return {
+        "dense": dense,
+        "distribution": [x / sum(dense) for x in dense],
+        "rank": [float(x) for x in r.sample(range(6), 6)],
+        "dense_uint8": [r.randint(0, 255) for _ in range(6)],
+        "sparse": sorted({r.randint(0, 9): r.random() for _ in range(4)}.items()),
+        "set": sorted({r.randint(0, 9) for _ in range(4)}),
+        "bits": [r.randint(-(1 << 31), (1 << 31) - 1) for _ in range(2)],
+        "string": "".join(r.choice("abcé") for _ in range(r.randint(0, 9))),
+    }[kind]
+
+
+KINDS = {"sparse": "array<struct<dim:int,val:double>>", "set": "array<int>", "bits": "array<int>", "string": "string", "dense_uint8": "array<int>"}
+
+
+def test_block_forms_agree(spark):
+    """Every block form against the column expression."""
+    import numpy as np
+
+    from vicinity.functions.kernels import KERNELS, block, kernel
+
+    r = random.Random(8)
+    for name in KERNELS:
+        s, params = space(name), {"p": 3.0} if "p" in space(name).params else {}
+        rows = [(_payloads(s.kind, r), _payloads(s.kind, r)) for _ in range(4)]
+        kind = KINDS.get(s.kind, "array<double>")
+        df = spark.createDataFrame(rows, f"v {kind}, q {kind}")
+        want = [x.d for x in df.select(distance(name, **params)(F.col("v"), F.col("q")).alias("d")).collect()]
+        table = df.toArrow()
+        got = np.diag(kernel(name, block(table.column("v"), name), block(table.column("q"), name), **params))
+        assert got == pytest.approx(want, abs=1e-6), name

@@ -173,3 +173,20 @@ def test_stream(spark, points, tmp_path):
     answers.processAllAvailable()
     answers.stop()
     assert spark.read.parquet(str(tmp_path / "answers")).where("rank = 1 and query_id <> 3").where("dist > 1e-9").count() == 0
+
+
+@pytest.mark.parametrize("method", ["vptree", "hnsw", "sw-graph"])
+@pytest.mark.parametrize(("name", "kind"), [("leven", "string"), ("jsmetrfast", "array<double>"), ("bit_hamming", "array<int>"), ("cosinesimil_sparse", "array<struct<dim:int,val:double>>")])
+def test_methods_over_other_payloads(spark, method, name, kind):
+    """Non-dense spaces: exact for metrics by partitions, nearly so by graphs."""
+    from .test_distances import _payloads
+    from vicinity.functions.distances import space
+
+    r = random.Random(9)
+    rows = [(i, _payloads(space(name).kind, r)) for i in range(120)]
+    p = spark.createDataFrame(rows, f"id long, vec {kind}")
+    q = p.where("id < 5").select(F.col("id").alias("query_id"), "vec")
+    want = knn(p, q, 5, name).groupBy("query_id").agg(F.max("dist").alias("kth"))
+    found = VPTree.build(p, name, bucket=10).knn(q, 5) if method == "vptree" else graph_index(p, method, name).knn(q, 5, 40)
+    good = found.join(want, "query_id").where("dist <= kth + 1e-9").count()
+    assert good >= (25 if method == "vptree" and space(name).metric else 20)

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distances import distance
+from ..functions.kernels import block, kernel
 from ..shipping import ship
-from .knn import kernel, query_blocks, top_k
+from .knn import query_blocks, top_k
 
 #: Points of a part, about.
 PART = 5000
@@ -35,11 +37,13 @@ class Graph:
     layered: bool = True
     choose: int = 2
     seed: int = 0
+    params: dict = field(default_factory=dict)
     links: list[dict[int, list[int]]] = field(default_factory=list)
     entry: int = -1
 
     def _d(self, rows: list[int], q: np.ndarray) -> np.ndarray:
-        return kernel(self.dist, self.x[rows], q[None, :])[:, 0]
+        """Distances of rows, as objects, to one query (a block of one)."""
+        return kernel(self.dist, self.x[rows], q, **self.params)[:, 0]
 
     def _beam(self, q: np.ndarray, start: list[tuple[float, int]], width: int, level: int) -> list[tuple[float, int]]:
         """The nearest rows that a best-first walk over one level meets, nearest first."""
@@ -73,7 +77,7 @@ class Graph:
         for d, i in found:
             if len(kept) == most:
                 break
-            if not kept or self._d(kept, self.x[i]).min() > d:
+            if not kept or self._d(kept, self.x[i : i + 1]).min() > d:
                 kept.append(i)
             else:
                 passed.append(i)
@@ -89,7 +93,7 @@ class Graph:
             own = table.setdefault(j, [])
             own.append(i)
             if most is not None and len(own) > most:
-                d = self._d(own, self.x[j])
+                d = self._d(own, self.x[j : j + 1])
                 table[j] = self._select(sorted(zip(d.tolist(), own, strict=True)), most)
 
     def build(self) -> Graph:
@@ -97,7 +101,7 @@ class Graph:
         scale = 1 / math.log(max(self.m, 2))
         levels = np.floor(-np.log(1 - random.random(len(self.x))) * scale).astype(int) if self.layered else np.zeros(len(self.x), int)
         for i, top in enumerate(levels.tolist()):
-            q = self.x[i]
+            q = self.x[i : i + 1]
             if self.entry >= 0:
                 at = [(float(self._d([self.entry], q)[0]), self.entry)]
                 for level in range(len(self.links) - 1, -1, -1):
@@ -132,6 +136,7 @@ class GraphIndex:
     ef_construction: int
     layered: bool
     choose: int
+    params: dict = field(default_factory=dict)
 
     def knn(self, queries: DataFrame, k: int, ef: int = 20) -> DataFrame:
         """k nearest points of every query; queries are broadcast in blocks."""
@@ -142,22 +147,22 @@ class GraphIndex:
         return out
 
     def _graph(self, x: np.ndarray) -> Graph:
-        return Graph(x, self.dist, self.m, self.ef_construction, self.layered, self.choose).build()
+        return Graph(x, self.dist, self.m, self.ef_construction, self.layered, self.choose, params=self.params).build()
 
     def _parted(self) -> DataFrame:
         part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(self.parts)).alias("part")
-        return self.points.select(part, F.col("id").cast("long").alias("id"), F.col(self.payload).cast("array<double>").alias("v"))
+        return self.points.select(part, F.col("id").cast("long").alias("id"), F.col(self.payload).alias("v"))
 
     def _search(self, queries: DataFrame, k: int, ef: int) -> DataFrame:
         ship(queries.sparkSession)
-        table = queries.select("query_id", F.col(self.payload).cast("array<double>").alias("v")).toArrow()
-        ids, q, graph = table.column("query_id").to_pylist(), np.array(table.column("v").to_pylist(), np.float64), self._graph
+        table = queries.select("query_id", F.col(self.payload).alias("v")).toArrow()
+        ids, q, graph, name = table.column("query_id").to_pylist(), block(table.column("v"), self.dist), self._graph, self.dist
 
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by("id")
             own = table.column("id").to_numpy()
-            g = graph(np.array(table.column("v").to_pylist(), np.float64))
-            rows = [(a, int(own[i]), d) for a, x in zip(ids, q, strict=True) for d, i in g.search(x, k, ef)]
+            g = graph(block(table.column("v"), name))
+            rows = [(a, int(own[i]), d) for j, a in enumerate(ids) for d, i in g.search(q[j : j + 1], k, ef)]
             return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "id": pa.array([r[1] for r in rows], pa.int64()), "dist": pa.array([r[2] for r in rows], pa.float64())})
 
         return self._stateless(run, "query_id long, id long, dist double")
@@ -165,12 +170,12 @@ class GraphIndex:
     def edges(self) -> DataFrame:
         """All links: (level, src, dst)."""
         ship(self.points.sparkSession)
-        graph = self._graph
+        graph, name = self._graph, self.dist
 
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by("id")
             own = table.column("id").to_numpy()
-            g = graph(np.array(table.column("v").to_pylist(), np.float64))
+            g = graph(block(table.column("v"), name))
             rows = [(level, int(own[i]), int(own[j])) for level, t in enumerate(g.links) for i, to in t.items() for j in to]
             return pa.table({"level": pa.array([r[0] for r in rows], pa.int32()), "src": pa.array([r[1] for r in rows], pa.int64()), "dst": pa.array([r[2] for r in rows], pa.int64())})
 
@@ -184,21 +189,19 @@ class GraphIndex:
         return {**self.__dict__, "points": None}
 
 
-def graph_index(points: DataFrame, method: str = "hnsw", dist: str = "l2", payload: str = "vec", m: int | None = None, ef_construction: int | None = None, choose: int = 2, part: int = PART) -> GraphIndex:
+def graph_index(points: DataFrame, method: str = "hnsw", dist: str = "l2", payload: str = "vec", m: int | None = None, ef_construction: int | None = None, choose: int = 2, part: int = PART, **params) -> GraphIndex:
     """``hnsw`` (m 16, efConstruction 200) or ``sw-graph`` (NN 10, efConstruction NN)."""
     parts = max(1, -(-points.count() // part))
     if method == "hnsw":
-        return GraphIndex(points, dist, payload, parts, m or 16, ef_construction or 200, True, choose)
+        return GraphIndex(points, dist, payload, parts, m or 16, ef_construction or 200, True, choose, params)
     if method == "sw-graph":
-        return GraphIndex(points, dist, payload, parts, m or 10, ef_construction or m or 10, False, 0)
+        return GraphIndex(points, dist, payload, parts, m or 10, ef_construction or m or 10, False, 0, params)
     raise ValueError(f"unknown graph method {method!r}")
 
 
 def delete_points(edges: DataFrame, points: DataFrame, gone: DataFrame, dist: str = "l2", payload: str = "vec", patch: bool = True) -> DataFrame:
     """Links without the deleted points. With ``patch`` a neighbour of a deleted point is linked to that point's nearest
     surviving neighbour, both ways."""
-    from ..functions.distances import distance
-
     ids = gone.select(F.col("id").alias("_gone"))
     left = edges.join(ids, F.col("src") == F.col("_gone"), "left_anti").join(ids, F.col("dst") == F.col("_gone"), "left_anti")
     if not patch:
@@ -206,7 +209,7 @@ def delete_points(edges: DataFrame, points: DataFrame, gone: DataFrame, dist: st
     f = distance(dist)
     of = edges.join(ids, F.col("src") == F.col("_gone")).drop("_gone").join(ids, F.col("dst") == F.col("_gone"), "left_anti")
     a, b = of.select("level", F.col("src").alias("via"), F.col("dst").alias("src")), of.select("level", F.col("src").alias("via"), F.col("dst").alias("dst"))
-    v = points.select("id", F.col(payload).cast("array<double>").alias("v"))
+    v = points.select("id", F.col(payload).alias("v"))
     met = a.join(b, ["level", "via"]).where("src <> dst").join(v.select(F.col("id").alias("src"), F.col("v").alias("_s")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("_d")), "dst")
     best = met.groupBy("level", "via", "src").agg(F.min_by("dst", F.struct(f(F.col("_d"), F.col("_s")).alias("d"), F.col("dst"))).alias("dst")).select("level", "src", "dst")
     return left.select("level", "src", "dst").unionByName(best).unionByName(best.select("level", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

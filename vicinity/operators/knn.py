@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import Pair, distance, space
+from ..functions.kernels import BATCHED, kernel
 from ..shipping import ship
 
 #: Queries that are broadcast at once, at most.
@@ -67,28 +68,6 @@ def range_search(points: DataFrame, queries: DataFrame, radius: float, dist: Pai
     return _union(pairs(points, b, dist, payload, **params).where(F.col("dist") <= radius) for b in query_blocks(queries))
 
 
-def kernel(name: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Distances of all rows of x to all rows of q by matrix products, for the spaces that have such a form."""
-    if name in ("l2", "l2sqr"):
-        sq = np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * x @ q.T, 0)
-        return np.sqrt(sq) if name == "l2" else sq
-    if name == "negdotprod":
-        return -(x @ q.T)
-    if name in ("cosinesimil", "angulardist"):
-        nx, nq = (x * x).sum(1), (q * q).sum(1)
-        size = np.sqrt(np.outer(nx, nq))
-        cos = np.divide(x @ q.T, size, out=np.zeros_like(size), where=size > 1e-38).clip(-1, 1)
-        return np.maximum(0, 1 - cos) if name == "cosinesimil" else np.arccos(cos)
-    if name == "l1":
-        return np.abs(x[:, None, :] - q[None, :, :]).sum(2)
-    if name == "linf":
-        return np.abs(x[:, None, :] - q[None, :, :]).max(2)
-    raise ValueError(f"space {name!r} has no matrix form")
-
-
-BATCHED = ("l1", "l2", "l2sqr", "linf", "negdotprod", "cosinesimil", "angulardist")
-
-
 def knn_batched(points: DataFrame, queries: DataFrame, k: int, dist: str = "l2", payload: str = "vec") -> DataFrame:
     """The same result as ``knn``, from matrix products over Arrow batches: each task sends k rows a query at most."""
     if dist not in BATCHED:

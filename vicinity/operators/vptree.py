@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distances import distance
+from ..functions.kernels import block, kernel
 from ..shipping import ship
-from .knn import kernel, query_blocks, top_k
+from .knn import query_blocks, top_k
 
 #: Points that the tree is built on, at most.
 SAMPLE = 8192
@@ -27,7 +28,7 @@ ATTEMPTS = 5
 
 @dataclass
 class Node:
-    pivot: np.ndarray
+    pivot: np.ndarray  # one row
     median: float
     left: Node | int
     right: Node | int
@@ -54,6 +55,7 @@ class Tree:
     root: Node | int
     leaves: int
     dist: str
+    params: dict
 
     def route(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
@@ -65,14 +67,14 @@ class Tree:
             if isinstance(node, int):
                 out[rows] = node
                 return
-            d = kernel(self.dist, x[rows], node.pivot[None, :])[:, 0]
+            d = kernel(self.dist, x[rows], node.pivot, **self.params)[:, 0]
             go(node.left, rows[d < node.median])
             go(node.right, rows[d >= node.median])
 
         go(self.root, np.arange(len(x)))
         return out
 
-    def reached(self, q: np.ndarray, radius: float, pruner: Pruner, most: int | None = None) -> list[int]:
+    def reached(self, q, radius: float, pruner: Pruner, most: int | None = None) -> list[int]:
         """Leaves that may hold points within the radius, the near side of each node first."""
         out: list[int] = []
         stack = [self.root]
@@ -81,14 +83,14 @@ class Tree:
             if isinstance(node, int):
                 out.append(node)
                 continue
-            d = float(kernel(self.dist, node.pivot[None, :], q[None, :])[0, 0])
+            d = float(kernel(self.dist, node.pivot, q, **self.params)[0, 0])
             left, right = pruner.sides(d, node.median, radius)
             both = [node.right] * right + [node.left] * left if d < node.median else [node.left] * left + [node.right] * right
             stack += both
         return out
 
 
-def build_tree(sample: np.ndarray, dist: str, bucket: int, seed: int = 0) -> Tree:
+def build_tree(sample, dist: str, bucket: int, seed: int = 0, **params) -> Tree:
     """Splits at the median distance from the pivot, of a few tried, whose distances spread most."""
     random, counter = np.random.default_rng(seed), itertools.count()
 
@@ -96,17 +98,17 @@ def build_tree(sample: np.ndarray, dist: str, bucket: int, seed: int = 0) -> Tre
         if len(rows) <= bucket:
             return next(counter)
         tried = random.choice(rows, min(ATTEMPTS, len(rows)) if len(rows) >= 10 else 1, replace=False)
-        d = kernel(dist, sample[rows], sample[tried])
+        d = kernel(dist, sample[rows], sample[tried], **params)
         best = int(d.std(0, ddof=1).argmax())
         own = d[:, best]
         median = float(np.median(own))
         left, right = rows[own < median], rows[own >= median]
         if min(len(left), len(right)) < len(rows) / 4:
             return next(counter)  # ties at the median: no balanced split
-        return Node(sample[tried[best]], median, make(left), make(right))
+        return Node(sample[tried[best] : tried[best] + 1], median, make(left), make(right))
 
     root = make(np.arange(len(sample)))
-    return Tree(root, next(counter), dist)
+    return Tree(root, next(counter), dist, params)
 
 
 @dataclass
@@ -118,12 +120,12 @@ class VPTree:
     payload: str
 
     @classmethod
-    def build(cls, points: DataFrame, dist: str = "l2", payload: str = "vec", bucket: int = BUCKET, sample: int = SAMPLE) -> VPTree:
+    def build(cls, points: DataFrame, dist: str = "l2", payload: str = "vec", bucket: int = BUCKET, sample: int = SAMPLE, **params) -> VPTree:
         """``bucket``: points of a leaf, about, in the whole table."""
         n = points.count()
-        rows = points.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col(payload).cast("array<double>").alias("v")).toArrow()
-        x = np.array(rows.column("v").to_pylist(), np.float64)
-        tree = build_tree(x, dist, max(1, bucket * len(x) // max(n, 1)))
+        rows = points.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col(payload).alias("v")).toArrow()
+        x = block(rows.column("v"), dist)
+        tree = build_tree(x, dist, max(1, bucket * len(x) // max(n, 1)), **params)
         return cls(_routed(points, tree, payload, "id"), tree, payload)
 
     def knn(self, queries: DataFrame, k: int, pruner: Pruner | None = None, max_leaves: int | None = None, eps: float = 0.0) -> DataFrame:
@@ -145,8 +147,8 @@ class VPTree:
         return out
 
     def _near(self, asked: DataFrame) -> DataFrame:
-        f = distance(self.tree.dist)
-        v = self.points.select("id", "leaf", F.col(self.payload).cast("array<double>").alias("_v"))
+        f = distance(self.tree.dist, **self.tree.params)
+        v = self.points.select("id", "leaf", F.col(self.payload).alias("_v"))
         return v.join(asked, "leaf").select("query_id", "id", f(F.col("_v"), F.col("_q")).alias("dist"))
 
     def _reached(self, asked: DataFrame, pruner: Pruner, most: int | None) -> DataFrame:
@@ -157,13 +159,14 @@ class VPTree:
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
-                    q = np.array(batch.column("_q").to_pylist(), np.float64)
-                    leaves = [tree.reached(x, r, pruner, most) for x, r in zip(q, batch.column("radius").to_numpy(), strict=True)]
+                    q = block(batch.column("_q"), tree.dist)
+                    leaves = [tree.reached(q[i : i + 1], r, pruner, most) for i, r in enumerate(batch.column("radius").to_numpy())]
                     at = np.repeat(np.arange(len(q)), [*map(len, leaves)])
                     part = batch.select(["query_id", "_q"]).take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("_q"), pa.array(np.concatenate(leaves), pa.int32())], ["query_id", "_q", "leaf"])
 
-        return asked.select(F.col("query_id").cast("long").alias("query_id"), F.col(self.payload).cast("array<double>").alias("_q"), "radius").mapInArrow(run, "query_id long, _q array<double>, leaf int")
+        rows = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col(self.payload).alias("_q"), "radius")
+        return rows.mapInArrow(run, f"query_id long, _q {rows.schema['_q'].dataType.simpleString()}, leaf int")
 
     def distance_computations(self, queries: DataFrame, k: int, pruner: Pruner | None = None) -> DataFrame:
         """Distances that the second pass computes for each query: (query_id, n)."""
@@ -178,10 +181,11 @@ def _routed(rows: DataFrame, tree: Tree, payload: str, key: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = block(batch.column("v"), tree.dist)
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("v"), pa.array(tree.route(x) if len(x) else np.zeros(0, np.int32), pa.int32())], [key, payload, "leaf"])
 
-    return rows.select(F.col(key).cast("long").alias(key), F.col(payload).cast("array<double>").alias("v")).mapInArrow(run, f"{key} long, `{payload}` array<double>, leaf int")
+    own = rows.select(F.col(key).cast("long").alias(key), F.col(payload).alias("v"))
+    return own.mapInArrow(run, f"{key} long, `{payload}` {own.schema['v'].dataType.simpleString()}, leaf int")
 
 
 def tune(index: VPTree, queries: DataFrame, gold: DataFrame, k: int, desired: float, step: float = 2.0, rounds: int = 4) -> tuple[Pruner, float, float]:

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.distances import distance, space
 from ..operators import graphs, inverted, knn, vptree
 
@@ -122,11 +123,11 @@ class Index:
         if self.method == "napp":
             self.built = inverted.choose_pivots(points, min(p["numPivot"], max(1, points.count() - 1)), self.payload)
         elif self.method == "vptree":
-            self.built = vptree.VPTree.build(points, name, self.payload, p["bucketSize"])
+            self.built = vptree.VPTree.build(points, name, self.payload, p["bucketSize"], **self.space_params)
         elif self.method == "hnsw":
-            self.built = graphs.graph_index(points, "hnsw", name, self.payload, p["M"], p["efConstruction"], p["delaunay_type"])
+            self.built = graphs.graph_index(points, "hnsw", name, self.payload, p["M"], p["efConstruction"], p["delaunay_type"], **self.space_params)
         elif self.method == "sw-graph":
-            self.built = graphs.graph_index(points, "sw-graph", name, self.payload, p["NN"], p["efConstruction"])
+            self.built = graphs.graph_index(points, "sw-graph", name, self.payload, p["NN"], p["efConstruction"], **self.space_params)
         elif self.method == "simple_invindx":
             self.built = inverted.postings(points, self.payload)
         else:
@@ -230,6 +231,6 @@ def init(spark: SparkSession, space_name: str = "cosinesimil", space_params=None
         raise ValueError(f"space {space_name!r} takes no {data_type}")
     given = parameters(space_params)
     distance(space_name, **given)
-    if method in ("hnsw", "sw-graph", "vptree") and space_name not in knn.BATCHED:
-        raise ValueError(f"method {method!r} takes the spaces {', '.join(knn.BATCHED)}")
+    if method in ("hnsw", "sw-graph", "vptree") and space_name not in kernels.KERNELS:
+        raise ValueError(f"method {method!r} takes the spaces {', '.join(kernels.KERNELS)}")
     return Index(spark, space_name, given, method, data_type, "INT" if s.integer else dtype, payload)
