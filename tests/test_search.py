@@ -190,3 +190,30 @@ def test_methods_over_other_payloads(spark, method, name, kind):
     found = VPTree.build(p, name, bucket=10).knn(q, 5) if method == "vptree" else graph_index(p, method, name).knn(q, 5, 40)
     good = found.join(want, "query_id").where("dist <= kth + 1e-9").count()
     assert good >= (25 if method == "vptree" and space(name).metric else 20)
+
+
+def test_experiment(spark, points, tmp_path):
+    from vicinity.plans import experiment
+
+    labelled = points.withColumn("label", (F.col("id") % 3).cast("int"))
+    for _ in range(2):  # the second run reads the cached answers
+        got = experiment.run(spark, labelled, "l2", "hnsw", 5, index_params=["M=8", "efConstruction=40"], query_params=[["ef=10"], ["ef=60"]], sets=2, queries=8, cache=str(tmp_path / "gold")).orderBy("recall").collect()
+        assert [r.method for r in got] == ["hnsw", "hnsw"] and got[-1].recall >= 0.9 and got[-1].rel_pos_error >= 1
+    labelled.write.parquet(str(tmp_path / "points"))
+    experiment.main(["--points", str(tmp_path / "points"), "--space", "l2", "--method", "brute_force", "--knn", "3", "--maxNumQuery", "5", "--output", str(tmp_path / "report")])
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "report")).first().recall == "1.0"
+
+
+def test_binary_readers(spark, tmp_path):
+    import struct
+
+    path = tmp_path / "v.fvecs"
+    path.write_bytes(struct.pack("<i2f", 2, 0.5, 1.5) + struct.pack("<i2f", 2, 2.5, 3.5))
+    assert [r.vec for r in text.read_texmex(spark, str(path)).orderBy("id").collect()] == [[0.5, 1.5], [2.5, 3.5]]
+    path = tmp_path / "s.bin"
+    path.write_bytes(struct.pack("<I", 1) + struct.pack("<I", 2) + b"ab" + struct.pack("<I", 2) + struct.pack("<IfIf", 7, 1.0, 3, 2.0))
+    got = text.read_sparse_binary(spark, str(path)).first()
+    assert (got.extern_id, [tuple(e) for e in got.vec]) == ("ab", [(3, 2.0), (7, 1.0)])
+    assert text.read_weights(["a 1 0.5", "", "b 2 0"]) == ({"a": 1.0, "b": 2.0}, {"a": 0.5, "b": 0.0})
+    with pytest.raises(ValueError):
+        text.read_weights(["a 1"])

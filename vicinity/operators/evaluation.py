@@ -22,6 +22,17 @@ def gold_standard(points: DataFrame, queries: DataFrame, k: int, dist: str = "l2
     return knn(points, queries, k * depth, dist, payload, **params)
 
 
+def cached_gold(gold: DataFrame, path: str | None) -> DataFrame:
+    """A gold standard kept under ``path``: computed and written once, read from then on."""
+    if path is None:
+        return gold
+    spark = gold.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        gold.write.mode("overwrite").parquet(path)
+    return spark.read.schema(gold.schema).parquet(path)
+
+
 def exact_set(gold: DataFrame, k: int) -> DataFrame:
     """The first k of each query and what ties with the last of them."""
     kth = gold.where(F.col("rank") == k).select("query_id", F.col("dist").alias("_kth"))

@@ -104,6 +104,40 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select((F.col("id") - 1).alias("id"), F.transform(lines, cluster).alias("clusters"))
 
 
+def read_weights(lines: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """Index-time and query-time weights of fusion parts from lines ``part index_weight query_weight``."""
+    index, query = {}, {}
+    for n, line in enumerate(lines, 1):
+        if not line.strip():
+            continue
+        parts = line.split()
+        if len(parts) != 3 or parts[0] in index:
+            raise ValueError(f"expected a part and two weights, line {n}")
+        index[parts[0]], query[parts[0]] = float(parts[1]), float(parts[2])
+    return index, query
+
+
+def read_texmex(spark: SparkSession, path: str, kind: str = "f") -> DataFrame:
+    """Binary vectors, each with its width first: ``f`` floats, ``i`` whole numbers, ``b`` bytes."""
+    import numpy as np
+    import pandas as pd
+
+    size, dtype = {"f": (4, "<f4"), "i": (4, "<i4"), "b": (1, "u1")}[kind]
+
+    def run(frames):
+        for frame in frames:
+            for data in frame["content"]:
+                at, i = 0, 0
+                rows = []
+                while at < len(data):
+                    width = int(np.frombuffer(data, "<i4", 1, at)[0])
+                    rows.append((i, np.frombuffer(data, dtype, width, at + 4).astype(float).tolist()))
+                    at, i = at + 4 + width * size, i + 1
+                yield pd.DataFrame(rows, columns=["id", "vec"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id long, vec array<double>")
+
+
 SPARSE_BINARY = "id long, extern_id string, vec array<struct<dim:int,val:float>>"
 
 
