@@ -33,8 +33,9 @@ from ._common import documents, mapped, slices, whole_text
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 LONG_WORD = 1024
-#: Distinct words that a worker remembers.
+#: Distinct words that a worker remembers, about; when there are more, only those of a few symbols stay.
 MEMORY = 150_000
+COMMON = 7
 NONE = np.iinfo(np.int32).max
 #: Piece types, fixed by the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -92,7 +93,8 @@ class Tokenizer:
             raise ValueError("a piece spans words")
         self.decimal = [str(i) for i in range(len(pieces))]
         self._tables(scores)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, int] | None = None
 
     def _tables(self, scores: list[float]) -> None:
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
@@ -116,57 +118,93 @@ class Tokenizer:
                 if a is not None and b is not None:
                     keys.append(a * size + b)
                     made.append(i)
-        by = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.pair_keys = np.concatenate((np.array(keys, np.int64)[by], [np.iinfo(np.int64).max]))
-        self.pair_made = np.concatenate((np.array(made, np.int32)[by], [0])).astype(np.int32)
+        self._spread(np.array(keys, np.int64), np.array(made, np.int32))
         self.rank = np.full(size, NONE, np.int32)
         self.rank[list(rank)] = list(rank.values())
         self.together = alone
         self.chars = {t: i for t, i in self.ids.items() if len(t) == 1}
+        #: Symbol of each code point: its piece, or -1 - code point.
+        self.points = -1 - np.arange(0x110000, dtype=np.int64)
+        self.points[[*map(ord, self.chars)]] = list(self.chars.values())
+
+    def _spread(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """Deals the pairs to an open hash table: each takes the first free place from its own on."""
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.place_key, self.place_made, self.probes = np.full(size, -2, np.int64), np.full(size, -1, np.int32), 0
+        while len(keys):
+            at = (self._home(keys) + self.probes) & (size - 1)
+            free = self.place_key[at] == -2
+            first = np.unique(np.where(free, at, -1), return_index=True)
+            take = first[1][first[0] >= 0]
+            self.place_key[at[take]], self.place_made[at[take]] = keys[take], made[take]
+            left = np.ones(len(keys), bool)
+            left[take] = False
+            keys, made, self.probes = keys[left], made[left], self.probes + 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Pieces that adjacent symbols form, -1 for none."""
-        key = np.where(inside & (left >= 0) & (right >= 0), left.astype(np.int64) * len(self.texts) + right, -1)
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_made[at], -1)
-
-    def _rounds(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word after all merges; -1 - code point for characters without a piece."""
+        made = np.full(len(left), -1, np.int32)
+        ask = np.flatnonzero(inside & (left >= 0) & (right >= 0))
+        key = left[ask] * len(self.texts) + right[ask]
+        at = self._home(key)
+        for _ in range(self.probes):
+            held = self.place_key[at]
+            hit = held == key
+            made[ask[hit]] = self.place_made[at[hit]]
+            on = ~hit & (held != -2)
+            if not on.any():
+                break
+            ask, key, at = ask[on], key[on], (at[on] + 1) & (len(self.place_key) - 1)
+        return made
+
+    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words after all merges, end to end, -1 - code point for characters without a piece; and the
+        words' ends."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        distinct, back = np.unique(points, return_inverse=True)
-        symbols = np.array([self.chars.get(chr(c), -1 - int(c)) for c in distinct], np.int64)[back]
+        symbols = self.points[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(words)), lengths)
-        done: list[np.ndarray | None] = [None] * len(words)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             made = np.append(self._pairs(symbols[:-1], symbols[1:], word[:-1] == word[1:]), -1)
             ranks = np.where(made >= 0, self.rank[made], NONE)
-            least = np.minimum.reduceat(ranks, first)
             count = np.diff(np.append(first, len(symbols)))
-            for k in np.flatnonzero(least == NONE):
-                done[word[first[k]]] = symbols[first[k] : first[k] + count[k]]
-            going = np.repeat(least != NONE, count)
-            hit = (ranks == np.repeat(least, count)) & going
+            least = np.repeat(np.minimum.reduceat(ranks, first), count)
+            going = least != NONE
+            done.append((symbols[~going], word[~going]))
+            symbols, word, made, hit = symbols[going], word[going], made[going], (ranks == least)[going]
             at = np.flatnonzero(hit)
+            if not len(at):
+                break
             # runs of neighbouring hits: every second one merges; pieces that must merge alone: the first of the word
-            run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1))) if len(at) else at
+            run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
             offset = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-            leading = np.concatenate(([True], word[at[1:]] != word[at[:-1]])) if len(at) else np.zeros(0, bool)
+            leading = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))
             lone = np.zeros(len(words), bool)
             lone[word[at[~self.together[made[at]]]]] = True
             at = at[np.where(lone[word[at]], leading, offset % 2 == 0)]
-            symbols = symbols.copy()
             symbols[at] = made[at]
-            keep = going.copy()
+            keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             symbols, word = symbols[keep], word[keep]
-        return done
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        every, of = np.concatenate([x for x, _ in done]), np.concatenate([w for _, w in done])
+        by = np.argsort(of, kind="stable")
+        return every[by], np.cumsum(np.bincount(of, minlength=len(words)))
 
-    def _heap(self, word: str) -> np.ndarray:
+    def _heap(self, word: str) -> list[int]:
         """The same merges for one long word."""
         symbols = [self.chars.get(c, -1 - ord(c)) for c in word]
-        table = self.__dict__.setdefault("_table", dict(zip(self.pair_keys[:-1].tolist(), self.pair_made[:-1].tolist(), strict=True)))
+        if self.pairs is None:
+            full = self.place_key >= 0
+            self.pairs = dict(zip(self.place_key[full].tolist(), self.place_made[full].tolist(), strict=True))
+        table = self.pairs
         before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
         gone = bytearray(len(symbols))
         size, heap = len(self.texts), []
@@ -186,15 +224,14 @@ class Tokenizer:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        return np.array([s for s, g in zip(symbols, gone, strict=True) if not g], np.int64)
+        return [s for s, g in zip(symbols, gone, strict=True) if not g]
 
-    def _spelt(self, symbols: np.ndarray) -> tuple[int, ...]:
-        if not len(symbols) or symbols.min() >= 0:
-            return tuple(symbols.tolist())
+    def _spelt(self, symbols: list[int]) -> bytes:
+        """The ids of a word's symbols, four bytes each."""
         out: list[int] = []
-        for s in symbols.tolist():
+        for s in symbols:
             out += [s] if s >= 0 else [self.bytes[b] for b in chr(-1 - s).encode()] if self.bytes else [self.unknown]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def words(self, text: str) -> list[str]:
         """Words of a text, each without its first space mark."""
@@ -204,20 +241,35 @@ class Tokenizer:
             return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
         return text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, the end id last."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each text's end id last; and the offsets of the texts."""
         split = [self.words(t) for t in texts]
         known = self.known
         if len(known) > MEMORY:
+            kept = {w: ids for w, ids in known.items() if len(w) <= COMMON}
             known.clear()
+            known |= kept if len(kept) < MEMORY // 2 else {}
         new = list(set(chain.from_iterable(split)).difference(known))
         short = [w for w in new if len(w) < LONG_WORD]
-        for w, symbols in zip(short, self._rounds([MARK + w for w in short]), strict=True):
-            known[w] = self._spelt(symbols)
+        flat, ends = self._rounds([MARK + w for w in short])
+        ids, start = flat.astype(np.int32).tobytes(), 0
+        odd = set(np.searchsorted(ends, np.flatnonzero(flat < 0), "right").tolist())
+        for i, (w, end) in enumerate(zip(short, (4 * ends).tolist(), strict=True)):
+            known[w] = ids[start:end] if i not in odd else self._spelt(flat[start // 4 : end // 4].tolist())
+            start = end
         for w in new:
             if len(w) >= LONG_WORD:
                 known[w] = self._spelt(self._heap(MARK + w))
-        return [[*chain.from_iterable(map(known.__getitem__, words)), self.end] for words in split]
+        end_id = np.array([self.end], np.int32).tobytes()
+        parts = [b"".join([*map(known.__getitem__, words), end_id]) for words in split]
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts], dtype=np.int64)))
+        return np.frombuffer(b"".join(parts), np.int32), offsets
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, the end id last."""
+        flat, offsets = self.encode_flat(texts)
+        every = flat.tolist()
+        return [every[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: piece surfaces end to end, without the space that encoding puts first."""
