@@ -274,4 +274,16 @@ def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_chosen_path_join": op4_chosen_path_join}
-ORACLE_SQL: dict[str, str] = {}
+#: The same result from all pairs that share a shingle; links are closed to classes by recursion.
+ORACLE_SQL = {
+    "op4_chosen_path_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+sh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, len(s) AS n, md5_number(unnest(s)) AS g FROM sh),
+m AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+f AS (SELECT e.* FROM e SEMI JOIN m USING (g)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, least(d.doc_id, coalesce(x.least, d.doc_id)) AS class_id, coalesce(y.n, 0) AS n_links FROM documents d LEFT JOIN (SELECT a, min(b) AS least FROM r GROUP BY a) x ON x.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) y ON y.a = d.doc_id
+"""
+}
