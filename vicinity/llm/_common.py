@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time (a longer text is one slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of an Arrow batch at most: batches wait in memory outside the heap, and rows here are whole texts.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,21 +39,51 @@ def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_TASK)))).checkpoint(eager=True)
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """A wide table, written as Parquet under the shared folder and read again."""
+    """A wide table, written as Parquet under the shared folder and read again; see ``drop_tables``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables of ``written``, once no result that reads them is needed any more."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in every worker."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` with this package at hand in every worker, in batches that fit whole texts."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ship(spark)
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system: Python workers are used again and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def whole_text(text: str = "text") -> Column:
