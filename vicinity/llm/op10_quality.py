@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, flat_bytes, mapped, slices, whole_text, word_hashes
+from ._common import documents, flat_bytes, mapped, release, slices, whole_text, word_hashes
 
 #: Labelled documents that the classifier learns from, at most: those of the smallest hash of their id.
 SAMPLE = 4096
@@ -69,8 +69,10 @@ def term_counts(column) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
+    """Scales the rows to length 1, in place; rows without length stay."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.where(norm > 1e-12, norm, 1)
+    return x
 
 
 @dataclass
@@ -106,8 +108,10 @@ class Neighbours:
 def fit(counts: np.ndarray, labels: np.ndarray) -> Neighbours:
     if not len(labels):
         return Neighbours(np.ones(TERMS, np.float32), np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), labels, 0.5)
-    weight = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = _unit(np.log1p(counts) * weight)
+    weight = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    x = np.log1p(counts, dtype=np.float32)
+    x *= weight
+    _unit(x)
     values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     basis = vectors[:, ::-1][:, :RANK].astype(np.float32)
     return Neighbours(weight, basis, _unit(x @ basis), labels, float(labels.mean()))
@@ -125,7 +129,7 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int = SAMPLE) -> Neighbours:
+def train(docs: DataFrame, marks: DataFrame, label: str = "quality", size: int = SAMPLE) -> Neighbours:
     """Fits on labelled rows outside the held-out fold. The driver gets ``size`` count vectors at most."""
 
     def count(batches):
@@ -135,9 +139,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int
                 counts = np.minimum(term_counts(part.column("_text")), np.iinfo(np.int32).max).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([x.tobytes() for x in counts], pa.binary())], ["label", "counts"])
 
-    rows = mapped(sampled(docs, labels, label, ~held_out(), size).select("_label", "_text"), count, "label double, counts binary").toArrow()
-    counts = np.frombuffer(b"".join(x.as_py() for x in rows.column("counts")), np.int32).reshape(-1, TERMS).astype(np.float32)
-    return fit(counts, rows.column("label").to_numpy())
+    rows = mapped(sampled(docs, marks, label, ~held_out(), size).select("_label", "_text"), count, "label double, counts binary").toArrow()
+    counts = np.empty((rows.num_rows, TERMS), np.float32)
+    for i, x in enumerate(rows.column("counts")):
+        counts[i] = np.frombuffer(x.as_buffer(), np.int32)
+    labels = rows.column("label").to_numpy()
+    del rows
+    model = fit(counts, labels)
+    del counts
+    release()  # the driver's memory
+    return model
 
 
 def score_texts(df: DataFrame, model: Neighbours, text: str = "text", name: str = "score") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, durable, flat_bytes, mapped, slices, whole_text, word_hashes
+from ._common import documents, durable, flat_bytes, mapped, release, slices, whole_text, word_hashes
 from .op10_quality import BLANK, CLASSES, N_CLASSES
 
 DOMAINS = ("clean", "toxic", "poor")
@@ -158,7 +158,11 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Domains:
 
     got = mapped(rows.select("_domain", "_text"), count, "domain int, words binary, shape binary").toArrow()
     pairs = [(np.frombuffer(w.as_py(), np.uint64), np.frombuffer(s.as_py(), np.float32)) for w, s in zip(got.column("words"), got.column("shape"), strict=True)]
-    return fit(pairs, got.column("domain").to_numpy())
+    domains = got.column("domain").to_numpy()
+    model = fit(pairs, domains)
+    del pairs, got
+    release()  # the driver's memory
+    return model
 
 
 def with_posteriors(df: DataFrame, model: Domains, text: str = "text") -> DataFrame:
