@@ -30,6 +30,16 @@ def test_interval_expansion():
         assert got.tolist() == want
 
 
+def test_finer_buckets_change_nothing():
+    r = random.Random(12)
+    word = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    passage = word(90)
+    parts = [word(r.randint(40, 120)) + passage[r.randint(0, 9) :] + word(r.randint(0, 90)) for _ in range(200)] + [b"ab" * 100, word(20)]
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    for chunk in (300, 5000):
+        assert (op3.repeats_in(data, offsets, 64, chunk=chunk) == op3.repeated_starts(data, offsets[1:], 64)).all()
+
+
 def removed(rows, n=op3.LENGTH):
     count = Counter()
     for _, t in rows:

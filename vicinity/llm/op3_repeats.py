@@ -30,6 +30,8 @@ from ._common import documents, flat_bytes, groups, mapped, mixed, slices, whole
 
 LENGTH = 400
 GRAM = 64
+#: String lengths by which a bucket of many contexts is split again.
+FINER = (32, 16, 8)
 #: Window starts of a context at most, and bytes of a chunk, about.
 PIECE = 1 << 15
 CHUNK = 1 << 20
@@ -213,6 +215,36 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) ->
     return out
 
 
+def repeats_in(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, level: int = 0, chunk: int = CHUNK) -> np.ndarray:
+    """``repeated_starts`` of contexts of any size: more than a few chunks are dealt to finer buckets first.
+
+    Finer buckets follow from other, shorter strings of the window, so equal windows stay together here too.
+    """
+    if len(data) <= 4 * chunk or level == len(FINER):
+        return repeated_starts(data, offsets[1:], length)
+    parts = []
+    for low in range(0, len(offsets) - 1, 512):
+        own = offsets[low : low + 513]
+        row, key, a, z, _ = bucket_runs(data[own[0] : own[-1]], own - own[0], length, FINER[level])
+        parts.append((key, own[row] + a, z - a + 1))
+    key, begin, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(key, kind="stable")
+    key, begin, count = key[by], begin[by], count[by]
+    out = np.zeros(len(data), bool)
+    edges = [*np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist(), len(key)]
+    held, size = edges[0], 0
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        size += int((count[a:z] + length - 1).sum())
+        if size >= chunk or z == len(key):
+            lengths = count[held:z] + length - 1
+            inner = np.concatenate(([0], np.cumsum(lengths)))
+            places = np.repeat(begin[held:z] - inner[:-1], lengths) + np.arange(inner[-1])
+            hit = repeats_in(data[places], inner, length, level + 1, chunk)
+            out[places[hit]] = True
+            held, size = z, 0
+    return out
+
+
 RUNS = "th binary, bucket long, a int, z int, many boolean"
 
 
@@ -266,7 +298,7 @@ def found_repeats(contexts: DataFrame) -> DataFrame:
         table = pa.concat_tables(held).combine_chunks()
         bodies = table.column("body").combine_chunks()
         data, offsets = flat_bytes(bodies)
-        again = repeated_starts(data, offsets[1:])
+        again = repeats_in(data, offsets)
         size = np.diff(offsets)
         copied = np.repeat(table.column("n").to_numpy() > 1, size)
         place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
@@ -352,4 +384,20 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_repeated_strings": op3_repeated_strings}
-ORACLE_SQL: dict[str, str] = {}
+#: The same result from digests of all windows, and the islands of their starts.
+ORACLE_SQL = {
+    "op3_repeated_strings": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+s AS (SELECT doc_id, unnest(range(0, n - 399)) AS s, h FROM n WHERE n >= 400),
+k AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 800)) AS g FROM s),
+m AS (SELECT g FROM k GROUP BY g HAVING count(*) > 1),
+t AS (SELECT k.doc_id, s FROM k SEMI JOIN m USING (g)),
+o AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM t),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM o),
+p AS (SELECT doc_id, i, min(s) AS a, max(s) + 400 AS z FROM i GROUP BY doc_id, i),
+g AS (SELECT p.doc_id, i, a, z, lag(z, 1, 0) OVER (PARTITION BY p.doc_id ORDER BY a) AS y FROM p),
+c AS (SELECT g.doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM g JOIN n USING (doc_id) GROUP BY g.doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN c USING (doc_id)
+"""
+}
