@@ -20,6 +20,12 @@ def duck(small):
     return con
 
 
+@pytest.fixture(scope="module")
+def large(small):
+    """A folder whose embeddings table has more rows than one thousand."""
+    return small.replace("sf0.001", "sf0.1")
+
+
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=columns.__getitem__)
     text = lambda x: "nan" if isinstance(x, float) and math.isnan(x) else f"{round(x, 5) + 0.0:.5f}" if isinstance(x, float) else str(x)
@@ -46,5 +52,19 @@ def test_graph_recall(spark, small, name):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("name", ["hnsw_knn", "swgraph_knn"])
+def test_graph_recall_over_all_rows(spark, large, name):
+    exact = {(r["query_id"], r["id"]) for r in catalog.queries()["knn_l2"](spark, large).collect()}
+    found = {(r["query_id"], r["id"]) for r in catalog.queries()[name](spark, large).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_graphs_link_all_rows(spark, large):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{large}/embeddings.parquet").select("vec_id").collect()}
+    linked = lambda name: {r["src"] for r in catalog.queries()[name](spark, large).select("src").distinct().collect()}
+    assert linked("graph_edges") == ids
+    assert linked("graph_delete") == {i for i in ids if i % 10 != 3}
+
+
 def test_data_folder():
     assert DATA

@@ -362,18 +362,18 @@ def _sqfd(name: str, **params) -> Query:
 
 def _graph(method: str, **params) -> Query:
     def run(spark, sf_dir):
-        p = _points(spark, sf_dir).where("id < 1000")
+        p = _points(spark, sf_dir)
         return _rounded(graphs.graph_index(p, method, "l2", **params).knn(_queries(p), K, 60))
 
     return run
 
 
 def graph_edges(spark, sf_dir):
-    return graphs.graph_index(_points(spark, sf_dir).where("id < 400"), "sw-graph", "l2").edges()
+    return graphs.graph_index(_points(spark, sf_dir), "sw-graph", "l2").edges()
 
 
 def graph_delete(spark, sf_dir):
-    p = _points(spark, sf_dir).where("id < 400")
+    p = _points(spark, sf_dir)
     return graphs.delete_points(graphs.graph_index(p, "sw-graph", "l2").edges(), p, p.where("id % 10 = 3").select("id"))
 
 
