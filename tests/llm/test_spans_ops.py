@@ -1,6 +1,7 @@
 """Fingerprints, licenses and secrets against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -111,6 +112,9 @@ def brute_rules(text):
 LICENSED = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3 or later, see SPDX-License-Identifier: GPL-3.0-only", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "BSD 3-Clause license and the new BSD license; Creative Commons Attribution-NonCommercial 4.0 International", "all rights reserved, copyright"]
 
 
+UNSTEMMED = ["This project is released under Apache 2.0.", "is distributed under the new BSD", "BSD 3-Clause", "MPL 2.0", "CC0 1.0", "All rights reserved.", "https://creativecommons.org/publicdomain/zero/1.0/", "All advertising materials mentioning features or use of this software must display", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable"]
+
+
 def test_rule_suppression(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(LICENSED)], "doc_id long, text string")
     for r in op2.scan_licenses(df).collect():
@@ -119,6 +123,51 @@ def test_rule_suppression(spark):
     assert labels == {0: "mit", 1: "gpl-3", 2: "mit", 3: "bsd-3-clause,cc-by-nc", 4: "proprietary"}
 
 
+def sample(parsed, r):
+    """A text that a parsed pattern matches, with random branches and counts."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "ANY":
+                out += "x"
+            case "IN":
+                code, value = arg[0]
+                out += chr(r.randint(*value) if str(code) == "RANGE" else r.choice([v for _, v in arg]))
+            case "SUBPATTERN":
+                out += sample(arg[3], r)
+            case "BRANCH":
+                out += sample(r.choice(arg[1]), r)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                low, high, body = arg
+                out += "".join(sample(body, r) for _ in range(r.randint(low, min(high, low + 1))))
+            case "ASSERT":
+                pass
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def rule_samples(times=4):
+    """Texts that match the pattern of each rule: (place, text)."""
+    r = random.Random(8)
+    return [(place, sample(re._parser.parse(pattern), r).strip()) for place, (_, pattern, *_) in enumerate(op2.rules()) for _ in range(times)]
+
+
+def test_keywords_occur_in_what_their_rules_match():
+    lost = {place for place, text in rule_samples(20) if op2.rules()[place][0] not in f" {text} "}
+    assert not lost
+
+
+def test_no_rule_is_lost_at_the_gate(spark):
+    rows = rule_samples(1) + [(1000 + i, t) for i, t in enumerate(UNSTEMMED)]
+    got = op2.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.licenses.found for r in got)
+    for r in got:
+        assert [(s.start, s.end, s.priority, s.place, s.label) for s in r.licenses.found] == brute_rules(r.text)
+
+
 def test_rules_are_hundreds():
     assert len(op2.rules()) > 200
 
