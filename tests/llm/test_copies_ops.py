@@ -137,6 +137,18 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert Counter((x.doc_id, x.class_id, x.n_links) for x in got.collect()) == linked(rows)
 
 
+def test_recall_of_pairs_in_a_crowd(spark):
+    """Pairs of similarity 0.8 among texts that share half of their words: their buckets are split to the end."""
+    r = random.Random(4)
+    own = lambda n: [f"{r.getrandbits(48):x}" for _ in range(n)]
+    shared, rows = own(49), []
+    for i in range(800):
+        a = shared + own(45)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:-10] + own(10)))]
+    got = op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(x.n_links == 0 for x in got) <= 0.003 * len(rows)
+
+
 def test_units_of_blocks(spark):
     grouped = spark.createDataFrame([(i, 0) for i in range(100)], "rid long, root long")
     units = op4.in_units(grouped, 16).collect()

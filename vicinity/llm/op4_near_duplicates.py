@@ -4,7 +4,7 @@ Documents are sets of shingles of five words. Equal sets become one representati
 recursively on sampled shared tokens: a path picks hash functions, and a set goes where its least token under them
 leads, so two sets stay together with the probability of their similarity. Buckets of ``SMALL`` sets are compared
 by brute force on signatures; larger ones are split again, to ``DEPTH`` tokens. Independent runs repeat this until
-a pair at the threshold is met with the target recall. Pairs that the buckets suggest make candidate groups; within
+a pair at the threshold is met with the target recall; sets whose buckets were split deeper run on. Pairs that the buckets suggest make candidate groups; within
 a candidate group every pair of sets is compared exactly, in square blocks that are dealt out separately, so a group
 of any size has exact link counts, while no pair is ever a row.
 
@@ -110,22 +110,48 @@ def set_table(docs: DataFrame, text: str = "text", kept: tuple[str, ...] = ()) -
 def runs_for(recall: float, similarity: float = THRESHOLD, depth: int = 3) -> int:
     """Runs after which a pair of this similarity shared a bucket with at least this probability.
 
-    A path of ``depth`` tokens keeps the pair with the similarity to that power; most buckets are small after one.
+    A path of ``depth`` tokens keeps the pair with the similarity to that power; most buckets are small after one, and
+    sets with deeper paths take further turns.
     """
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
 
 
-def chosen_paths(sets: DataFrame, runs: int, rows: int | None = None, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def missed(depth: int, similarity: float = THRESHOLD) -> float:
+    """Logarithm of the probability that a pair is parted before its path has ``depth`` tokens."""
+    return math.log(1 - similarity**depth)
+
+
+def fresh_signatures(sets: DataFrame, turn: int) -> DataFrame:
+    """Signatures (rid, signature) under hash functions that no other turn uses, from the shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch, "shingles"):
+                part = batch.slice(a, b - a)
+                bodies = [np.frombuffer(x.as_py(), np.uint32) for x in part.column("shingles")]
+                offsets = np.concatenate(([0], np.cumsum([*map(len, bodies)]))).astype(np.int64)
+                with np.errstate(over="ignore"):
+                    values = mixed(np.concatenate(bodies).astype(np.uint64) + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([x.tobytes() for x in signatures(values, offsets)], pa.binary())], ["rid", "signature"])
+
+    return mapped(sets.select("rid", "shingles"), run, "rid long, signature binary")
+
+
+def chosen_paths(sets: DataFrame, runs: int, rows: int | None = None, small: int = SMALL, depth: int = DEPTH, turn: int = 0) -> tuple[DataFrame, DataFrame]:
     """Leaves of the recursive splits of all runs: ``leaf``, ``deep`` (it is still large) and ``rid``; no leaf has one set only.
+    And the splits that each set went through: ``rid`` and ``more``, what each adds to the logarithm of missing a pair.
 
-    Only paths and row numbers are dealt out; signatures are looked up again for the buckets that are split on. ``rows``: sets expected.
+    Runs and depths use tokens of their own, so that runs are independent. Only paths and row numbers are dealt out;
+    signatures are looked up again for the buckets that are split on. ``rows``: sets expected.
     """
+    if runs * depth > TOKENS:
+        raise ValueError("runs share tokens")
     most = None if rows is None else rows * runs
-    # the token that a path samples next follows from the path alone
-    token = lambda path: F.substring("signature", F.pmod(F.xxhash64(path, F.lit(4)), F.lit(TOKENS)).cast("int") * 4 + 1, F.lit(4))
-    begun = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r, F.lit(8))))
-    level = durable(sets.select("rid", "signature", begun.alias("path")).select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")), most)
+    token = lambda d: F.substring("signature", (F.col("run") * depth + (d - 1)) * 4 + 1, F.lit(4))
+    begun = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
+    level = durable(sets.select("rid", "signature", begun).select("rid", "run", F.xxhash64("run", F.lit(8 + turn), token(1)).alias("path")), most)
     leaves = None
+    splits = level.where("false").select("rid", F.lit(0.0).alias("more"))
     for d in range(1, depth + 1):
         sizes = durable(level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), rows)
         last = d == depth
@@ -134,8 +160,31 @@ def chosen_paths(sets: DataFrame, runs: int, rows: int | None = None, small: int
         large = sizes.where(F.col("size") > small)
         if last or large.isEmpty():
             break
-        level = durable(level.join(large, "path").join(sets, "rid").select("rid", F.xxhash64("path", token(F.col("path"))).alias("path")), most)
-    return leaves
+        level = durable(level.join(large, "path").join(sets, "rid").select("rid", "run", F.xxhash64("path", token(d + 1)).alias("path")), most)
+        splits = splits.unionByName(level.select("rid", F.lit(missed(d + 1) - missed(d)).alias("more")))
+    return leaves, splits
+
+
+def candidates(signed: DataFrame, shingles: DataFrame, recall: float, rows: int) -> DataFrame:
+    """Links that span the similar sets of every leaf, over as many turns of runs as the depth of the paths asks for.
+
+    A set whose paths were split often has a lower chance to meet its pairs; such sets take further turns among
+    themselves, with fresh tokens, until each of them meets a pair at the threshold with the target recall. (A pair
+    is safe as soon as one of its sets is, as both follow the same path for as long as they are together.)
+    """
+    goal = math.log(1 - recall)
+    runs, turn, sets, pairs = min(runs_for(recall), TOKENS // DEPTH), 0, signed, None
+    short = signed.select("rid", F.lit(0.0).alias("miss"))
+    while True:
+        leaves, splits = chosen_paths(sets, runs, rows, turn=turn)
+        found = suggested(durable(leaves, rows * runs), signed)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        more = splits.groupBy("rid").agg(F.sum("more").alias("more"))
+        short = durable(short.join(more, "rid", "left").select("rid", (F.col("miss") + runs * missed(1) + F.coalesce("more", F.lit(0.0))).alias("miss")).where(F.col("miss") > goal), rows)
+        if short.isEmpty():
+            return pairs.distinct() if turn else pairs
+        turn += 1
+        sets = durable(fresh_signatures(shingles.join(short.select("rid"), "rid"), turn), rows)
 
 
 def suggested(leaves: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,8 +283,7 @@ def classes(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     reps = durable(by_set, n)
     full = sets.select("rid", "signature", "shingles")
     signed = full.select("rid", "signature").join(reps.select("rid"), "rid")
-    runs = runs_for(recall)
-    pairs = suggested(durable(chosen_paths(signed, runs, n), n * runs), signed)
+    pairs = candidates(signed, full, recall, n)
     grouped = durable(components(pairs, rows=n).withColumnRenamed("node", "rid"), n)
     near = full.select("rid", "shingles").join(grouped.select("rid"), "rid").join(reps.select("rid", "copies"), "rid")
     found = durable(exact_links(in_units(grouped).join(near, "rid")))
