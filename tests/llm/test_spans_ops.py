@@ -212,6 +212,63 @@ def test_secrets(which, request):
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == Counter((i, *base_secrets(t)) for i, t in texts(df))
 
 
+def brute_links(text):
+    """All spans, each weak one tested against every part, pair by pair."""
+    text, strong, flags = text or "", [], re.ASCII
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, flags):
+        if len(m[2]) >= 12:
+            strong.append((m.start(), 0, m.end()))
+    strong += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    strong += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(op8.KEY, text, flags) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    for rank, pattern in ((4, op8.ID), (5, op8.ENDPOINT)):
+        weak += [(m.start(), rank, m.end()) for m in re.finditer(pattern, text, flags)]
+    weak = [w for w in weak if not any(s[0] < w[2] and w[0] < s[2] for s in strong)]
+    if not strong and not any(w[1] == 3 for w in weak):
+        weak = []
+    part = {0: "secret", 1: "name", 2: "secret", 3: "secret", 4: "name", 5: "address"}
+
+    def near(s, kind):
+        for t in strong + weak:
+            left, right = min(s[2], t[2]), max(s[0], t[0])
+            if part[t[1]] == kind and right - left <= op8.REACH and (right <= left or "\n\n" not in text[left:right]):
+                return True
+        return False
+
+    wanted = {3: lambda s: near(s, "name") or near(s, "address"), 4: lambda s: near(s, "secret"), 5: lambda s: near(s, "secret") and near(s, "name")}
+    found = strong + [w for w in weak if wanted[w[1]](w)]
+    return ",".join(f"{op8.KINDS[r]}:{a}:{b}" for a, r, b in sorted(found))
+
+
+def planted_parts(n):
+    """Texts of parts, gaps of all widths about the reach, and blank lines."""
+    r = random.Random(12)
+    parts = [f"login: bob{i}" for i in range(3)] + ["user=ann", "https://a.example/x?y=1", "s3://bucket/key", KEY, KEY[::-1] + "=", "AKIA" + "Q7" * 9, "token: abcdefghijklmno", "0123456789abcdef0", "é", "x" * 230, "y" * 120, "\n\n", "\n", ".\n\n\n", "Zz9" * 60]
+    return [" ".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("which", ["odd", "docs", "planted"])
+def test_links_against_brute_force(which, request, spark):
+    df = spark.createDataFrame(list(enumerate(planted_parts(400))), "doc_id long, text string") if which == "planted" else request.getfixturevalue(which)
+    got = op8.digest(op8.scan_secrets(df)).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == Counter((i, brute_links(t)) for i, t in texts(df))
+
+
+def test_a_crowded_row_is_linked_in_time(spark):
+    text = " ".join(f"login: user{i} {KEY}{i:05d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(op8.scan_secrets(df).first().secrets) == 40_000
+
+
+def test_helper_columns_do_not_clash(spark):
+    text = f"login: bob {KEY} under the MIT license"
+    for scan, out in ((op8.scan_secrets, "secrets"), (op2.scan_licenses, "licenses")):
+        names = ["doc_id", "text", "_body", "_strong", "_keys", "_any", "_ids", "_ends", "_line", "_every", "__body"]
+        got = scan(spark.createDataFrame([(1, text, *range(9))], names))
+        assert set(names) | {out} == set(got.columns)
+        assert got.select(*names[2:]).first() == tuple(range(9)) and got.select(out).first()[0]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(0, 'a token = "abcdefghijkl1234" b'), (1, None), (2, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in op8.redacted(op8.scan_secrets(df)).collect()}

@@ -86,6 +86,18 @@ def release() -> None:
         trim(0)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the table has (Spark takes names without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text), F.lit(""))
