@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +21,16 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables; a local one is made only where none is set."""
+    """The cluster's folder for intermediate tables; on one machine (a local master) a folder is made where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinity-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="vicinity-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -208,23 +216,41 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+#: Links of a node beyond which it counts as a hub, at least, and hubs of a round at most (two numbers each are broadcast).
+HUB = 1000
+HUBS = 16384
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame, links: int) -> DataFrame:
+    """Rows (v, m) with their node's ``to`` from heads (v, to, n), each node once.
+
+    Nodes with more than ``limit`` links are broadcast, so that their rows stay where they are; as a row is a link,
+    there are at most ``HUBS`` of them, whatever the size. All other nodes are joined by a shuffle.
+    """
+    limit = max(HUB, -(-2 * links // HUBS))
+    hubs = F.broadcast(heads.where(F.col("n") > limit).select("v", "to"))
+    rest = rows.join(hubs.select("v"), "v", "left_anti").join(heads.where(F.col("n") <= limit).select("v", "to"), "v")
+    return rows.join(hubs, "v").unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """Connected components of undirected links between numbers: every linked ``node`` and its component's least, ``root``.
 
     Alternates star operations over the distributed links until none changes; nothing but a checksum reaches the
-    driver. Each round's links are checkpointed. ``rows``: links expected.
+    driver. Each round's links are checkpointed, minima are taken before the shuffle, and hubs are no hot keys.
+    ``rows``: links expected.
     """
     links = durable(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v > m").distinct(), rows)
     before = links.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
     while True:
         both = links.unionByName(links.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy("v").agg(F.min("m").alias("to"))
+        least = both.groupBy("v").agg(F.min("m").alias("to"), F.count("*").alias("n"))
         # large star: higher neighbours of a node link to its least neighbour or itself
-        large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.least("to", "v").alias("m"))
+        large = _with_heads(both.where("m > v"), least, before[0]).select(F.col("m").alias("v"), F.least("to", "v").alias("m"))
         large = large.distinct()
         # small star: lower neighbours and the node itself link to the least of them
-        low = large.groupBy("v").agg(F.min("m").alias("to"))
-        small = large.join(low, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).unionByName(low.select("v", F.col("to").alias("m")))
+        low = large.groupBy("v").agg(F.min("m").alias("to"), F.count("*").alias("n"))
+        small = _with_heads(large, low, before[0]).select(F.col("m").alias("v"), F.col("to").alias("m")).unionByName(low.select("v", F.col("to").alias("m")))
         links = durable(small.where("v > m").distinct(), before[0])
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if now == before:
