@@ -59,11 +59,39 @@ def removed(rows, n=op3.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("which", ["odd", "docs"])
-def test_repeats(which, request):
-    df = request.getfixturevalue(which)
+def passages(rows, n=op3.PASSAGE):
+    """Of each row: runs of words that a repeated string of n words covers, and their words."""
+    count, out = Counter(), Counter()
+    split = [(d, (t or "").encode().split()) for d, t in rows]
+    for _, w in split:
+        count.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for d, w in split:
+        mask = np.zeros(len(w) + 1, int)
+        for i in range(len(w) - n + 1):
+            if count[tuple(w[i : i + n])] > 1:
+                mask[i : i + n] = 1
+        out[d, int((np.diff(np.concatenate(([0], mask))) == 1).sum()), int(mask.sum())] += 1
+    return out
+
+
+@pytest.mark.parametrize("which", ["odd", "docs", "hot"])
+def test_repeats(which, request, monkeypatch):
+    if which == "hot":
+        monkeypatch.setattr(op3, "HOT", 500)
+        monkeypatch.setattr(op3, "HOT_WINDOWS", 400)
+    df = request.getfixturevalue("docs" if which == "hot" else which)
     got = op3.remove_repeats(df).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(texts(df))
+    assert Counter((r.doc_id, r.n_passages, r.passage_words) for r in got) == passages(texts(df))
+
+
+def test_passages_below_the_byte_length(spark):
+    r = random.Random(6)
+    words = lambda n: [r.choice("abcdefghijklmnop") * r.randint(1, 5) + str(r.randint(0, 99)) for _ in range(n)]
+    shared, short = words(55), words(50)
+    rows = [(1, " ".join(words(80) + shared + words(9))), (2, "\n".join(shared + words(200))), (3, " ".join(words(60) + short)), (4, " ".join(short + words(70))), (5, " ".join(words(300)))]
+    got = {x.doc_id: (x.n_passages, x.passage_words) for x in op3.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 55), 2: (1, 55), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
 
 
 def test_repeats_within_and_across(spark):

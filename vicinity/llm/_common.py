@@ -160,8 +160,13 @@ _PLACES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX) | np.uint64(1)
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes for which ``inside`` holds, never across rows: a 64-bit hash, the row and the length of each."""
+    return word_places(data, offsets, inside)[:3]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and where each run starts."""
     if not inside.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]
@@ -177,7 +182,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     length = np.diff(np.append(first, len(run)))
     with np.errstate(over="ignore"):
         hashed = mixed(np.add.reduceat(value, first) + length.astype(np.uint64) * _MIX)
-    return hashed, np.searchsorted(offsets, starts, "right") - 1, length
+    return hashed, np.searchsorted(offsets, starts, "right") - 1, length, starts
 
 
 def groups(batches, key: str) -> Iterator:

@@ -9,6 +9,12 @@ sorted and the Burrows-Wheeler transform taken. From intervals of suffixes that
 backward extension finds the intervals that share one byte more, and so the common prefix of neighbouring suffixes
 by increasing value; it stops at ``LENGTH``. Neighbours whose common prefix is still unknown then are repeats.
 
+The same is done a second time over words: passages of ``PASSAGE`` words or more (over fifty) that also start
+elsewhere, wherever lines break, are counted beside; they are no reason to remove a byte.
+
+A bucket of more than ``HOT`` window starts (a short string that very many different texts share) is not brought
+together: a hash of each of its windows is counted, with sums before the shuffle, and joined back to the places.
+
 Equal texts are worked on once; a text that occurs again is covered entirely if it is long enough. No shuffle has
 more than the texts once, the contexts of repeated buckets, and narrow rows.
 
@@ -26,18 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, flat_bytes, groups, mapped, mixed, slices, whole_text, written
+from ._common import documents, flat_bytes, groups, mapped, mixed, slices, whole_text, word_places, written
 
 LENGTH = 400
 GRAM = 64
-#: String lengths by which a bucket of many contexts is split again.
-FINER = (32, 16, 8)
+#: Words of a passage, at least, and words of the strings that deal its windows to buckets.
+PASSAGE = 51
+PASSAGE_GRAM = 8
+#: String lengths by which a bucket of many contexts is split again, in bytes and in words.
+FINER = {LENGTH: (32, 16, 8), PASSAGE: (4, 2)}
+#: Window starts of a bucket that is brought together in one task, at most.
+HOT = 1 << 22
+#: Windows that are broadcast because very many texts have them, at most (three numbers each).
+HOT_WINDOWS = 16384
 #: Window starts of a context at most, and bytes of a chunk, about.
 PIECE = 1 << 15
 CHUNK = 1 << 20
-#: Symbols of nine bits in a word, and the common prefixes below which words are compared directly.
-PACK = 7
-HEAD = 14
+#: Bits of a symbol, symbols of a packed word, and the common prefixes below which packed words are compared directly:
+#: for bytes, and for words (numbered within a chunk).
+BYTES_FORM = (9, 7, 14)
+WORDS_FORM = (31, 2, 2)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _powers: dict[str, np.ndarray] = {}
@@ -56,13 +70,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of every ``gram`` bytes, by a rolling polynomial."""
+    """A 64-bit hash of every ``gram`` bytes (or words, given as hashes), by a rolling polynomial."""
     n = len(data) - gram + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     up, down = _power(len(data))
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * up)))
         return mixed((sums[gram:] - sums[:-gram]) * down[:n])
 
 
@@ -105,24 +119,24 @@ def bucket_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     return row[first], key[first].view(np.int64), place[first], place[last], many
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of the contexts in order of at least ``depth`` bytes, and the first ``PACK`` symbols of each as one word.
+def suffix_order(data: np.ndarray, left: np.ndarray, depth: int, bits: int, pack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the contexts in order of at least ``depth`` symbols, and the first ``pack`` symbols of each as one word.
 
-    A suffix stops at the end of its context, ``left`` bytes further; an end is smaller than any byte and differs
+    A suffix stops at the end of its context, ``left`` symbols further; an end is smaller than any symbol and differs
     from every other. Order comes by doubling: suffixes that are still equal are sorted by the ranks further on.
     """
     n = len(data)
-    padded = np.concatenate((data, np.zeros(PACK, np.uint8))).astype(np.int64) + 1
+    padded = np.concatenate((data, np.zeros(pack, data.dtype))).astype(np.int64) + 1
     word = np.zeros(n, np.int64)
-    for j in range(PACK):
-        word = (word << 9) | np.where(left > j, padded[j : j + n], 0)
+    for j in range(pack):
+        word = (word << bits) | np.where(left > j, padded[j : j + n], 0)
     order = np.argsort(word)
     held = word[order]
     new = np.concatenate(([True], held[1:] != held[:-1]))
     rank = np.full(n + 1, -1, np.int64)
     group = np.flatnonzero(new)[np.cumsum(new) - 1]
     rank[order] = group
-    have, at = PACK, np.arange(n)
+    have, at = pack, np.arange(n)
     while have < depth:
         # of each open group, the members' places in the order
         begins = np.flatnonzero(new[at])
@@ -144,62 +158,69 @@ def suffix_order(data: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.nda
     return order, word
 
 
-def _shared_head(words: np.ndarray, order: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, as far as ``HEAD``."""
+def _shared_head(words: np.ndarray, order: np.ndarray, left: np.ndarray, n: int, form: tuple[int, int, int]) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in order, as far as the form's head."""
+    bits, pack, head = form
     total = np.zeros(n - 1, np.int64)
     going = np.ones(n - 1, bool)
-    for part in range(HEAD // PACK):
-        at = np.minimum(order + part * PACK, n - 1)
-        w = np.where(left[order] > part * PACK, words[at], 0)
+    for part in range(head // pack):
+        at = np.minimum(order + part * pack, n - 1)
+        w = np.where(left[order] > part * pack, words[at], 0)
         differ = w[1:] ^ w[:-1]
-        for j in range(PACK):
-            going &= (differ >> (9 * (PACK - 1 - j))) == 0
+        for j in range(pack):
+            going &= (differ >> (bits * (pack - 1 - j))) == 0
             total += going
     return np.minimum(total, np.minimum(left[order[1:]], left[order[:-1]]))
 
 
 def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether the ``length`` bytes from each place on also start at another place; ``ends`` are the contexts' ends."""
+    """Whether the ``length`` symbols from each place on also start at another place; ``ends`` are the contexts' ends.
+
+    Symbols are bytes, or words by their hashes."""
     n = len(data)
     out = np.zeros(n, bool)
     if n < 2:
         return out
-    if length <= HEAD:
-        raise ValueError(f"length must be above {HEAD}")
+    form, many = (BYTES_FORM, 256) if data.dtype == np.uint8 else (WORDS_FORM, n)
+    head_size = form[2]
+    if length <= head_size:
+        raise ValueError(f"length must be above {head_size}")
+    if data.dtype != np.uint8:
+        data = np.unique(data, return_inverse=True)[1]
     left = ends[np.searchsorted(ends, np.arange(n), "right")] - np.arange(n)
-    order, words = suffix_order(data, left, length)
-    # common prefix of the suffixes i - 1 and i; those below HEAD directly, -1: not known yet
+    order, words = suffix_order(data, left, length, *form[:2])
+    # common prefix of the suffixes i - 1 and i; those below the head directly, -1: not known yet
     known = np.full(n + 1, -1, np.int32)
     known[0] = known[n] = 0
-    head = _shared_head(words, order, left, n)
-    known[1:n][head < HEAD] = head[head < HEAD]
-    # the transform: the byte before each suffix (256 at a context's start), and where the suffix one byte longer stands
+    head = _shared_head(words, order, left, n, form)
+    known[1:n][head < head_size] = head[head < head_size]
+    # the transform: the symbol before each suffix (``many`` at a context's start), and where the suffix one longer stands
     begins = np.zeros(n, bool)
     begins[0] = True
     begins[ends[:-1][ends[:-1] < n]] = True
-    before = np.where(begins[order], 256, data[order - 1].astype(np.int64))
+    before = np.where(begins[order], many, data[order - 1].astype(np.int64))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     step = place[order - 1]
-    edge = np.flatnonzero(known[1:] == HEAD - 1) + 1
+    edge = np.flatnonzero(known[1:] == head_size - 1) + 1
     bounds = np.flatnonzero(known[:n] >= 0)
     lows = bounds[np.searchsorted(bounds, edge, "left") - 1] if len(edge) else edge
     lb, rb = lows, edge - 1
-    for value in range(HEAD, length):
+    for value in range(head_size, length):
         if not len(lb):
             break
         width = rb - lb + 1
         one = width == 1
         single = lb[one]
-        single = single[before[single] < 256]
+        single = single[before[single] < many]
         starts, stops = [step[single]], [step[single]]
         if not one.all():
             wide_lb, wide = lb[~one], width[~one]
             of = np.repeat(np.arange(len(wide)), wide)
             rows = np.repeat(wide_lb - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
-            ok = before[rows] < 256
+            ok = before[rows] < many
             of, rows = of[ok], rows[ok]
-            key = of * 256 + before[rows]
+            key = of * many + before[rows]
             sort = np.argsort(key, kind="stable")
             key, rows = key[sort], rows[sort]
             if len(key):
@@ -220,12 +241,12 @@ def repeats_in(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, leve
 
     Finer buckets follow from other, shorter strings of the window, so equal windows stay together here too.
     """
-    if len(data) <= 4 * chunk or level == len(FINER):
+    if len(data) <= 4 * chunk or level == len(FINER.get(length, FINER[LENGTH])):
         return repeated_starts(data, offsets[1:], length)
     parts = []
     for low in range(0, len(offsets) - 1, 512):
         own = offsets[low : low + 513]
-        row, key, a, z, _ = bucket_runs(data[own[0] : own[-1]], own - own[0], length, FINER[level])
+        row, key, a, z, _ = bucket_runs(data[own[0] : own[-1]], own - own[0], length, FINER.get(length, FINER[LENGTH])[level])
         parts.append((key, own[row] + a, z - a + 1))
     key, begin, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     by = np.argsort(key, kind="stable")
@@ -245,7 +266,32 @@ def repeats_in(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, leve
     return out
 
 
-RUNS = "th binary, bucket long, a int, z int, many boolean"
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, the rows' offsets among them, and where each word starts and ends."""
+    word, row, length, start = word_places(data, offsets, ~BLANK[data])
+    return word, np.searchsorted(row, np.arange(len(offsets))), start, start + length
+
+
+def _tagged(bucket: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of bytes (kind 0) and of words (1) in one column: the kind is the last bit."""
+    return (bucket & ~np.int64(1)) | np.int64(kind)
+
+
+def all_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs over bytes and over words: row, tagged bucket, first byte and end of the run's context, window starts, and
+    whether it may repeat itself."""
+    row, bucket, a, z, many = bucket_runs(data, offsets)
+    word, cut, start, end = _words(data, offsets)
+    w_row, w_bucket, first, last, w_many = bucket_runs(word, cut, PASSAGE, PASSAGE_GRAM)
+    begin, stop = start[cut[w_row] + first] - offsets[w_row], end[cut[w_row] + last + PASSAGE - 1] - offsets[w_row]
+    both = lambda x, y: np.concatenate((x, y))
+    return both(row, w_row), both(_tagged(bucket, 0), _tagged(w_bucket, 1)), both(a, begin), both(z + LENGTH, stop), both(z - a + 1, last - first + 1), both(many, w_many)
+
+
+RUNS = "th binary, bucket long, a int, z int, starts int, many boolean"
 
 
 def runs_table(texts: DataFrame) -> DataFrame:
@@ -255,9 +301,8 @@ def runs_table(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for i, j in slices(batch, "data"):
                 part = batch.slice(i, j - i)
-                data, offsets = flat_bytes(part.column("data"))
-                row, bucket, a, z, many = bucket_runs(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(row)), pa.array(bucket), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(many)], ["th", "bucket", "a", "z", "many"])
+                row, bucket, a, z, starts, many = all_runs(*flat_bytes(part.column("data")))
+                yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(row)), pa.array(bucket), *(pa.array(x, pa.int32()) for x in (a, z, starts)), pa.array(many)], [x.split()[0] for x in RUNS.split(", ")])
 
     return written(mapped(texts, run, RUNS), "runs")
 
@@ -277,7 +322,9 @@ def _cut(texts: DataFrame, bodies: bool) -> DataFrame:
                 seen: dict[tuple[int, bytes], list] = {}
                 for th, data, runs in zip(part.column("th").to_pylist(), part.column("data").to_pylist(), part.column("runs").to_pylist(), strict=True):
                     for x in runs:
-                        body = data[x["a"] : x["z"] + LENGTH]
+                        if x["hot"]:
+                            continue
+                        body = data[x["a"] : x["z"]]
                         key = (x["bucket"], hashlib.blake2b(body, digest_size=16).digest())
                         if bodies:
                             seen.setdefault(key, [body, 0])[1] += 1
@@ -291,45 +338,111 @@ def _cut(texts: DataFrame, bodies: bool) -> DataFrame:
     return mapped(texts.select("th", "data", "copies", "runs"), run, "bucket long, ch binary, " + ("body binary, n long" if bodies else "th binary, a int"))
 
 
+def _hot_windows(texts: DataFrame, counted: bool) -> DataFrame:
+    """Windows of hot runs by two hashes of their content: how many a batch has (``n``), or the place of each (``th``,
+    ``kind``, ``low``, ``stop``)."""
+    schema = "g long, h long, " + ("n long" if counted else "th binary, kind int, low int, stop int")
+
+    def windows(data: bytes, runs: list):
+        flat = np.frombuffer(data, np.uint8)
+        for kind in (0, 1):
+            own = [x for x in runs if x["hot"] and (x["bucket"] & 1) == kind]
+            if not own:
+                continue
+            if kind:
+                word, _, start, end = _words(flat, np.array([0, len(flat)]))
+                g, symbols = gram_hashes(word, PASSAGE), word
+                low, stop = start[: len(g)], end[PASSAGE - 1 :]
+            else:
+                g, symbols = gram_hashes(flat, LENGTH), mixed(_BYTES[flat] ^ np.uint64(_BASE))
+                low = np.arange(len(g))
+                stop = low + LENGTH
+            h = gram_hashes(symbols ^ np.uint64(0x5851F42D4C957F2D), PASSAGE if kind else LENGTH)
+            at = np.unique(np.concatenate([np.arange(i, i + x["starts"]) for x in own for i in [int(np.searchsorted(low, x["a"]))]]))
+            yield kind, g[at].view(np.int64), (h[at] ^ np.uint64(kind)).view(np.int64), low[at], stop[at]
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("runs").is_valid())
+            for i, j in slices(batch, "data"):
+                part = batch.slice(i, j - i)
+                for th, data, copies, runs in zip(*(part.column(c).to_pylist() for c in ("th", "data", "copies", "runs")), strict=True):
+                    for kind, g, h, low, stop in windows(data, runs):
+                        n = len(g)
+                        own = [pa.array(np.full(n, copies), pa.int64())] if counted else [pa.array([th] * n, pa.binary()), pa.array(np.full(n, kind), pa.int32()), pa.array(low, pa.int32()), pa.array(stop, pa.int32())]
+                        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), *own], [x.split()[0] for x in schema.split(", ")])
+
+    return mapped(texts.select("th", "data", "copies", "runs"), run, schema)
+
+
+def hot_hits(texts: DataFrame) -> DataFrame:
+    """Places of windows of hot runs that occur again: (th, kind, a, lows, ends)."""
+    again = _hot_windows(texts, True).groupBy("g", "h").agg(F.sum("n").alias("n")).where("n > 1")
+    # a window that very many texts have is broadcast (at most HOT_WINDOWS of them), so that it is no hot key
+    limit = again.agg(F.greatest(F.lit(100), F.ceil(F.sum("n") / HOT_WINDOWS))).first()[0] or 100
+    often, rest, places = F.broadcast(again.where(F.col("n") > limit)), again.where(F.col("n") <= limit), _hot_windows(texts, False)
+    met = places.join(often, ["g", "h"], "left_semi").unionByName(places.join(often, ["g", "h"], "left_anti").join(rest, ["g", "h"], "left_semi"))
+    return met.groupBy("th", "kind").agg(F.collect_list("low").alias("lows"), F.collect_list("stop").alias("ends")).select("th", "kind", F.lit(0).alias("a"), "lows", "ends")
+
+
 def found_repeats(contexts: DataFrame) -> DataFrame:
-    """Runs of repeated window starts of each distinct context (bucket, ch, n, body): bucket, ch and the runs' ends."""
+    """Repeats in each distinct context (bucket, ch, n, body): where runs of repeated windows start and what they cover ends."""
 
-    def settle(held: list[pa.Table]):
+    def settle(held: list[pa.Table], kind: int):
         table = pa.concat_tables(held).combine_chunks()
-        bodies = table.column("body").combine_chunks()
-        data, offsets = flat_bytes(bodies)
-        again = repeats_in(data, offsets)
-        size = np.diff(offsets)
+        data, offsets = flat_bytes(table.column("body").combine_chunks())
+        if kind:
+            symbols, cut, start, end = _words(data, offsets)
+            length = PASSAGE
+        else:
+            symbols, cut, length = data, offsets, LENGTH
+        again = repeats_in(symbols, cut, length)
+        size = np.diff(cut)
         copied = np.repeat(table.column("n").to_numpy() > 1, size)
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-        hit = (again | copied) & (place <= np.repeat(size, size) - LENGTH)
+        place = np.arange(len(symbols)) - np.repeat(cut[:-1], size)
+        hit = (again | copied) & (place <= np.repeat(size, size) - length)
         edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-        # a run never crosses contexts: the last bytes of each are no starts
-        low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        of = np.searchsorted(offsets, low, "right") - 1
+        # a run never crosses contexts: the last symbols of each are no starts
+        low, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
+        of = np.searchsorted(cut, low, "right") - 1
+        if kind:
+            low, stop = start[low], end[stop - 1]
         some = np.unique(of)
-        cut = np.searchsorted(of, some)
-        ends = np.append(cut[1:], len(of)).astype(np.int32)
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.append(cut, ends[-1] if len(ends) else 0), pa.int32()), pa.array((v - offsets[of]).astype(np.int32)))
+        at = np.searchsorted(of, some)
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.append(at, len(of)), pa.int32()), pa.array((v - offsets[of]).astype(np.int32)))
         if len(some):
             picked = table.select(["bucket", "ch"]).take(pa.array(some)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([picked.column("bucket").combine_chunks(), picked.column("ch").combine_chunks(), lists(low), lists(high)], ["bucket", "ch", "lows", "highs"])
+            yield pa.RecordBatch.from_arrays([picked.column("bucket").combine_chunks(), picked.column("ch").combine_chunks(), lists(low), lists(stop)], ["bucket", "ch", "lows", "ends"])
 
     def run(batches):
-        held, size = [], 0
+        held, size = ([], []), [0, 0]
         for table in groups(batches, "bucket"):
-            held.append(table)
-            size += sum(len(x) for x in table.column("body").to_pylist()) if table.num_rows < 4 else table.column("body").nbytes
-            if size >= CHUNK:
-                yield from settle(held)
-                held, size = [], 0
-        if held:
-            yield from settle(held)
-
-    return mapped(contexts.select("bucket", "ch", "n", "body").sortWithinPartitions("bucket"), run, "bucket long, ch binary, lows array<int>, highs array<int>")
-
-
-RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+            kind = table.column("bucket")[0].as_py() & 1
+            held[kind].append(table)
+            size[kind] += sum(len(x) for x in table.column("body").to_pylist()) if table.num_rows < 4 else table.column("body").nbytes
+            if size[kind] >= CHUNK:
+                yield from settle(held[kind], kind)
+                held[kind].clear()
+                size[kind] = 0
+        for kind in (0, 1):
+            if held[kind]:
+                yield from settle(held[kind], kind)
+
+    return mapped(contexts.select("bucket", "ch", "n", "body").sortWithinPartitions("bucket"), run, "bucket long, ch binary, lows array<int>, ends array<int>")
+
+
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, kept binary"
+
+
+def _merged(data: bytes, spans: list[tuple[int, int]], words: bool) -> list[list[int]]:
+    """Spans that overlap or adjoin (as words: with nothing but blanks between) as one."""
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and (a <= out[-1][1] or words and data[out[-1][1] : a].isspace()):
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
 
 
 def cleaned(texts: DataFrame, with_bytes: bool = False) -> DataFrame:
@@ -343,19 +456,14 @@ def cleaned(texts: DataFrame, with_bytes: bool = False) -> DataFrame:
                 out: list[tuple] = []
                 for data, copies, hits in zip(part.column("data").to_pylist(), part.column("copies").to_pylist(), part.column("hits").to_pylist(), strict=True):
                     n = len(data)
-                    spans: list[list[int]] = []
-                    if copies > 1 and n >= LENGTH:
-                        spans = [[0, n]]
-                    elif hits:
-                        for a, z in sorted((h["a"] + low, h["a"] + high + LENGTH) for h in hits for low, high in zip(h["lows"], h["highs"], strict=True)):
-                            if spans and a <= spans[-1][1]:
-                                spans[-1][1] = max(spans[-1][1], z)
-                            else:
-                                spans.append([a, z])
+                    if copies > 1:
+                        spans, passages = [[0, n]] if n >= LENGTH else [], [[0, n]] if len(data.split()) >= PASSAGE else []
+                    else:
+                        spans, passages = (_merged(data, [(h["a"] + low, h["a"] + stop) for h in hits or () if h["kind"] == kind for low, stop in zip(h["lows"], h["ends"], strict=True)], kind == 1) for kind in (0, 1))
                     edges = [0, *(x for s in spans for x in s), n]
                     kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if spans else data
-                    out.append((n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                    out.append((n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(passages), sum(len(data[a:z].split()) for a, z in passages), kept)[: len(names)])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("th"), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=False))], ["th", *names])
 
     schema = "th binary, " + ", ".join(RESULT.split(", ")[: len(names)])
@@ -368,13 +476,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False
     runs = runs_table(rows.select("th", "data"))
     # a bucket is of interest if two places are in it, or one that may repeat itself; copies of a text are the same place
     place = F.xxhash64("th", "a")
-    shared = runs.groupBy("bucket").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("many").alias("many")).where("x < y or many").select("bucket")
-    by_text = runs.join(shared, "bucket").groupBy("th").agg(F.collect_set(F.struct("bucket", "a", "z")).alias("runs"))
+    hot = F.sum("starts") > HOT
+    shared = runs.groupBy("bucket").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("many").alias("many"), hot.alias("hot")).where("x < y or many").select("bucket", "hot")
+    any_hot = not runs.groupBy("bucket").agg(hot.alias("hot")).where("hot").isEmpty()
+    by_text = runs.join(shared, "bucket").groupBy("th").agg(F.collect_set(F.struct("bucket", "a", "z", "starts", "hot")).alias("runs"))
     texts = rows.groupBy("th").agg(F.first("data").alias("data"), F.count("*").alias("copies"))
     with_runs = texts.join(by_text, "th")
     distinct = _cut(with_runs, True).repartition("bucket").groupBy("bucket", "ch").agg(F.first("body").alias("body"), F.sum("n").alias("n"))
     found = found_repeats(distinct)
-    hits = _cut(with_runs, False).join(found, ["bucket", "ch"]).groupBy("th").agg(F.collect_list(F.struct("a", "lows", "highs")).alias("hits"))
+    met = _cut(with_runs, False).join(found, ["bucket", "ch"]).select("th", F.col("bucket").bitwiseAND(F.lit(1)).cast("int").alias("kind"), "a", "lows", "ends")
+    if any_hot:
+        met = met.unionByName(hot_hits(with_runs))
+    hits = met.groupBy("th").agg(F.collect_list(F.struct("kind", "a", "lows", "ends")).alias("hits"))
     done = cleaned(texts.join(hits, "th", "left"), with_bytes)
     return rows.select("doc_id", "th").join(done, "th").drop("th")
 
@@ -398,6 +511,15 @@ i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM
 p AS (SELECT doc_id, i, min(s) AS a, max(s) + 400 AS z FROM i GROUP BY doc_id, i),
 g AS (SELECT p.doc_id, i, a, z, lag(z, 1, 0) OVER (PARTITION BY p.doc_id ORDER BY a) AS y FROM p),
 c AS (SELECT g.doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM g JOIN n USING (doc_id) GROUP BY g.doc_id)
-SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN c USING (doc_id)
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+') AS w FROM documents),
+ws AS (SELECT doc_id, unnest(range(1, len(w) - 49)) AS s, w FROM w WHERE len(w) > 50),
+wk AS (SELECT doc_id, s, md5_number(array_to_string(w[s : s + 50], ' ')) AS g FROM ws),
+wm AS (SELECT g FROM wk GROUP BY g HAVING count(*) > 1),
+wt AS (SELECT wk.doc_id, s FROM wk SEMI JOIN wm USING (g)),
+wo AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 51 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM wt),
+wi AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM wo),
+wp AS (SELECT doc_id, i, max(s) + 51 - min(s) AS n FROM wi GROUP BY doc_id, i),
+wc AS (SELECT doc_id, count(*) AS passages, sum(n) AS words FROM wp GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256, coalesce(passages, 0) AS n_passages, CAST(coalesce(words, 0) AS BIGINT) AS passage_words FROM n LEFT JOIN c USING (doc_id) LEFT JOIN wc USING (doc_id)
 """
 }
