@@ -510,7 +510,7 @@ o AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY
 i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM o),
 p AS (SELECT doc_id, i, min(s) AS a, max(s) + 400 AS z FROM i GROUP BY doc_id, i),
 g AS (SELECT p.doc_id, i, a, z, lag(z, 1, 0) OVER (PARTITION BY p.doc_id ORDER BY a) AS y FROM p),
-c AS (SELECT g.doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM g JOIN n USING (doc_id) GROUP BY g.doc_id)
+c AS (SELECT g.doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM g JOIN n USING (doc_id) GROUP BY g.doc_id),
 w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\t-\r ]+') AS w FROM documents),
 ws AS (SELECT doc_id, unnest(range(1, len(w) - 49)) AS s, w FROM w WHERE len(w) > 50),
 wk AS (SELECT doc_id, s, md5_number(array_to_string(w[s : s + 50], ' ')) AS g FROM ws),
