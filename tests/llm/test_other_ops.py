@@ -172,20 +172,54 @@ def test_quality_of_odd_rows(odd, none, labels):
     assert op10.train(odd, labels.where("false")).prior == 0.5
 
 
-def test_replay_of_rates_meets_targets(docs, labels):
+def least_change(p, t, share):
+    """Rates from 0 to 1 that meet the shares with the least change from 1, by bisection over one multiplier after another."""
+    ratio = share / share[0]
+    q = p[:, 1:] - p[:, :1] * ratio[1:]
+    at = np.zeros(q.shape[1])
+    for _ in range(200):
+        for d in range(len(at)):
+            low, high = -50.0, 50.0
+            for _ in range(60):
+                at[d] = (low + high) / 2
+                low, high = (at[d], high) if (np.clip(1 - q @ at, 0, 1) * t) @ q[:, d] > 0 else (low, at[d])
+    return np.clip(1 - q @ at, 0, 1)
+
+
+def test_mixing_meets_targets(docs, labels):
     rows = op5.with_posteriors(docs.select("doc_id", "text"), op5.train(docs, labels)).cache()
-    plan = op5.solve(rows)
     p, t = np.array([r._posterior for r in rows.collect()]), np.array([r._tokens for r in rows.collect()])
-    rate = np.ones(len(p))
-    aim = np.array([op5.TARGETS[d] for d in op5.DOMAINS]) / op5.TARGETS["clean"] * (t @ p)[0]
-    weight = t.sum() / (t @ p)
-    for _ in range(len(plan.steps)):
-        step = weight * ((rate * t) @ p - aim) / t.sum()
-        rate = np.maximum(0, rate - (p @ step + op5.PULL * (rate - 1)) / (1 + op5.PULL))
-    assert plan.rates(p) == pytest.approx(rate)
-    assert (rate >= 0).all()
-    got = (rate * t) @ p
-    assert got / got.sum() == pytest.approx([op5.TARGETS[d] for d in op5.DOMAINS], abs=0.01)
+    whole = t @ p / (t @ p).sum()
+    for part in ((0.5, 0.4), (0.2, 0.9)):
+        share = np.array([0, whole[1] * part[0], whole[2] * part[1]])
+        share[0] = 1 - share.sum()
+        targets = dict(zip(op5.DOMAINS, share.tolist(), strict=True))
+        plan = op5.solve(rows, targets)
+        rate, best = plan.rates(p), least_change(p, t, share)
+        assert (rate >= 0).all() and (rate <= 1).all() and len(plan.steps) < op5.STEPS
+        got = (rate * t) @ p
+        assert got / got.sum() == pytest.approx(share, rel=0.005)
+        assert t @ (rate - 1) ** 2 <= 1.1 * (t @ (best - 1) ** 2) + 1e-6
+        said = {r.domain: r for r in op5.report(op5.with_rates(rows, plan), targets).collect()}
+        assert all(abs(r.gap) < 0.005 for r in said.values())
+
+
+def test_targets_out_of_reach(docs, labels):
+    rows = op5.with_posteriors(docs.select("doc_id", "text"), op5.train(docs, labels)).cache()
+    targets = {"clean": 0.2, "toxic": 0.0, "poor": 0.8}
+    said = {r.domain: r for r in op5.report(op5.with_rates(rows, op5.solve(rows, targets)), targets).collect()}
+    assert said["poor"].gap < -0.5 and said["clean"].gap > 1
+    plan = op5.solve(rows, targets, most=1e6)
+    said = {r.domain: r for r in op5.report(op5.with_rates(rows, plan), targets).collect()}
+    assert abs(said["poor"].gap) < 0.01 and abs(said["clean"].gap) < 0.01
+
+
+def test_rates_are_realised(docs, labels):
+    targets = {"clean": 0.5, "toxic": 0.0, "poor": 0.5}
+    got = op5.mixed_documents(docs, labels, targets, most=50.0)
+    once = op5.mixed_documents(docs, labels, targets)
+    assert got.columns == docs.columns and got.count() > docs.count() > once.count()
+    assert once.count() == once.select("doc_id").distinct().count()
 
 
 def test_mixing_keeps_clean_and_drops_toxic(spark, small):

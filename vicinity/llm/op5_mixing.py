@@ -1,18 +1,21 @@
 """Mixing sources to target weights with soft memberships.
 
 A classifier learns domains from a labelled table and gives every document a posterior over them. Each document
-gets a nonnegative rate such that the expected tokens of each domain (rate x tokens x posterior, summed) meet the
-domain's target: least squares with a light pull of every rate towards 1, solved by projected gradient steps. The
-problem has one unknown for each document, but a step depends on the few domain totals alone; so a step is one
-distributed sum, a document's rate is the replay of the steps so far, and the driver holds one number for each
-domain and step, whatever the corpus.
+gets a rate from 0 to ``most`` such that the expected tokens of each domain (rate x tokens x posterior, summed) meet
+the domain's target: least squares over the relative gaps of the domains, solved by projected gradient steps from rate
+1, so that rates move no further than the targets ask. The problem has one unknown for each document, but a step
+depends on the few domain totals and their second moments alone: a step is one distributed sum over the narrow table
+of tokens and posteriors, scaled by the moments of the rows that are free to move, so that a few steps do; a
+document's rate is the replay of these steps, and the driver holds a few numbers for each step, whatever the corpus.
 
 The labelled table here is ``labels``: a document is ``toxic``, else ``clean`` or ``poor`` by its quality. Targets
-are shares of the kept tokens. Clean tokens are to stay whole, so the total is the clean total over its share.
+are shares of the kept tokens. Clean documents stay whole: the other domains are fitted to the clean tokens. Rates
+are 1 at most where documents are kept or dropped; a domain that is below its target even whole stays whole, and
+``report`` states what each domain got. With a larger ``most`` such a domain's documents are repeated.
 
 Defined results: a text without words has no tokens and gets the rate that its posterior gives; null labels are not
 learnt; an id labelled more than once takes its worst domain; without labels all domains are equally likely;
-repeated rows get equal rates; a null doc_id is kept or dropped like any; extra columns stay in ``mixed_documents``;
+repeated rows get equal rates; a null doc_id is kept or dropped like any (all null ids alike); extra columns stay in ``mixed_documents``;
 an empty table gives an empty table.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, durable, flat_bytes, mapped, release, slices, whole_text, word_hashes
+from ._common import documents, durable, flat_bytes, free, mapped, release, slices, whole_text, word_hashes, written
 from .op10_quality import BLANK, CLASSES, N_CLASSES
 
 DOMAINS = ("clean", "toxic", "poor")
@@ -34,9 +37,9 @@ TARGETS = {"clean": 0.97, "toxic": 0.01, "poor": 0.02}
 SAMPLE = 6144
 #: Words that the classifier looks at: those that tell most about the domain in the sample.
 VOCABULARY = 768
-STEPS = 60
-PULL = 0.01
-CLOSE = 1e-5
+#: Steps at most, and the relative gap of a domain's tokens to their target that ends them.
+STEPS = 24
+CLOSE = 1e-3
 L2 = 1e-4
 _LETTER = (CLASSES == 1) | (CLASSES == 2) | (CLASSES == 3) | (CLASSES == 4)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -185,15 +188,15 @@ def with_posteriors(df: DataFrame, model: Domains, text: str = "text") -> DataFr
 
 @dataclass
 class Plan:
-    """The gradient of each step in terms of the posteriors; replaying it gives a document's rate."""
+    """What each step takes off a rate for one unit of posterior; replaying the steps gives a document's rate."""
 
-    pull: float
+    most: float
     steps: list[np.ndarray]
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
         r = np.ones(len(posterior))
         for g in self.steps:
-            r = np.maximum(0, r - (posterior @ g + self.pull * (r - 1)) / (1 + self.pull))
+            r = np.clip(r - posterior @ g, 0, self.most)
         return r
 
 
@@ -201,45 +204,75 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _totals(rows: DataFrame, plan: Plan, k: int) -> np.ndarray:
-    """Expected tokens of each domain at the plan's rates: one number for each task and domain, summed."""
+def _totals(rows: DataFrame, plan: Plan, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """At the plan's rates: expected tokens of each domain, and second moments of the posteriors (tokens x posterior x
+    posterior) over rows whose rate is not 0. A few numbers for each task, summed."""
 
     def run(batches):
-        total = np.zeros(k)
+        total, moments = np.zeros(k), np.zeros((k, k))
         for batch in batches:
             if batch.num_rows:
-                p = _matrix(batch.column("_posterior"))
-                total += (plan.rates(p) * batch.column("_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(total)], ["domain", "total"])
+                p, t = _matrix(batch.column("_posterior")), batch.column("_tokens").to_numpy()
+                r = plan.rates(p)
+                total += (r * t) @ p
+                moments += p.T @ (p * (t * (r > 0))[:, None])
+        flat = np.concatenate((total, moments.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["at", "total"])
 
-    sums = mapped(rows.select("_tokens", "_posterior"), run, "domain int, total double").groupBy("domain").agg(F.sum("total").alias("total"))
-    found = {r["domain"]: r["total"] for r in sums.collect()}
-    return np.array([found.get(i, 0.0) for i in range(k)])
+    sums = mapped(rows.select("_tokens", "_posterior"), run, "at int, total double").groupBy("at").agg(F.sum("total").alias("total"))
+    found = {r["at"]: r["total"] for r in sums.collect()}
+    flat = np.array([found.get(i, 0.0) for i in range(k + k * k)])
+    return flat[:k], flat[k:].reshape(k, k)
 
 
-def solve(rows: DataFrame, targets: dict[str, float] | None = None, domains: tuple[str, ...] = DOMAINS, whole: str = DOMAINS[0], pull: float = PULL) -> Plan:
-    """Projected gradient steps until the domain totals are within ``CLOSE`` of their targets, or ``STEPS`` are done."""
-    share = np.array([(targets or TARGETS)[d] for d in domains])
+def _shares(targets: dict[str, float] | None, domains: tuple[str, ...]) -> np.ndarray:
+    share = np.array([(targets or TARGETS)[d] for d in domains], float)
     if (share < 0).any() or not share.sum():
         raise ValueError("targets are nonnegative shares")
-    plan = Plan(pull, [])
-    now = _totals(rows, plan, len(domains))
-    all_tokens = now.sum()
-    if not all_tokens:
-        return plan
-    at = domains.index(whole)
-    aim = share / share.sum() * (now[at] / (share[at] / share.sum()) if share[at] else all_tokens)
-    # domains weigh by the reverse of their size, so that steps of length 1 never overshoot
-    weight = all_tokens / np.maximum(now, 1e-9 * all_tokens)
-    for _ in range(STEPS):
-        gap = (now - aim) / all_tokens
-        if np.abs(gap).max() < CLOSE:
+    return share / share.sum()
+
+
+def solve(rows: DataFrame, targets: dict[str, float] | None = None, domains: tuple[str, ...] = DOMAINS, whole: str = DOMAINS[0], most: float = 1.0) -> Plan:
+    """Projected gradient steps until every domain is within ``CLOSE`` of its target or cannot come nearer.
+
+    A domain's target is its share over that of the ``whole`` domain, times that domain's tokens.
+    """
+    share, w = _shares(targets, domains), domains.index(whole)
+    if not share[w]:
+        raise ValueError(f"domain {whole!r} is to stay whole and needs a share")
+    if most < 1:
+        raise ValueError("rates start at 1")
+    others = [i for i in range(len(domains)) if i != w]
+    ratio = share / share[w]
+    plan, before = Plan(float(most), []), None
+    while len(plan.steps) < STEPS:
+        now, moments = _totals(rows, plan, len(domains))
+        gap = now - ratio * now[w]
+        if not now.sum() or (np.abs(gap[others]) <= CLOSE * ratio[others] * now[w]).all() or before is not None and np.abs(now - before).max() <= 1e-9 * now.sum():
             break
-        plan.steps.append(weight * gap)
-        now = _totals(rows, plan, len(domains))
+        # the gaps' change for one unit off the rates along each domain's posterior, over the rows that can move
+        slope = (moments - ratio[:, None] * moments[w][None, :])[np.ix_(others, others)]
+        ridge = 1e-9 * max(float(np.trace(np.abs(slope))), 1e-30)
+        step = np.zeros(len(domains))
+        step[others] = np.linalg.solve(slope + ridge * np.eye(len(others)), gap[others])
+        plan.steps.append(np.clip(step, -most, most))
+        before = now
     return plan
 
 
+def report(rated: DataFrame, targets: dict[str, float] | None = None, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """One row for each domain: its target share, its expected tokens at the rates, their share, and the relative gap.
+
+    Takes rows with ``_tokens``, ``_posterior`` and ``_rate``; a table without tokens has shares of null.
+    """
+    share = _shares(targets, domains)
+    sums = [F.coalesce(F.sum(F.col("_rate") * F.col("_tokens") * F.col("_posterior")[i]), F.lit(0.0)).alias(f"_s{i}") for i in range(len(domains))]
+    total = sum((F.col(f"_s{i}") for i in range(1, len(domains))), F.col("_s0"))
+    cells = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(float(share[i])).alias("target"), F.col(f"_s{i}").alias("tokens"), F.when(total > 0, F.col(f"_s{i}") / total).alias("share")) for i, d in enumerate(domains)))
+    out = rated.agg(*sums).select(F.explode(cells).alias("_c")).select("_c.*")
+    return out.withColumn("gap", F.when(F.col("target") > 0, F.col("share") / F.col("target") - 1))
+
+
 def with_rates(rows: DataFrame, plan: Plan) -> DataFrame:
     """Adds ``_rate`` to rows with posteriors."""
     names = rows.columns
@@ -257,11 +290,25 @@ def chance(*key: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key, F.lit("mix")), 11) / F.lit(float(1 << 53))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Keeps each document with its rate as probability (1 at most), decided by a hash of its id; columns stay."""
+def copies(rate: Column, *key: str) -> Column:
+    """How often a document of this rate is kept: the whole part of it, and once more with its fraction as chance."""
+    return (F.floor(rate) + (chance(*key) < rate - F.floor(rate)).cast("int")).cast("int")
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0) -> DataFrame:
+    """Keeps each document as often as its rate says, decided by a hash of its id; columns stay.
+
+    Documents and posteriors are written once to the shared folder, so texts are read for words once: the steps read
+    the narrow columns of that table, and the result its rows.
+    """
+    inner = {c: name for c, name in zip(docs.columns, free(docs, *(f"own{i}" for i in range(len(docs.columns)))), strict=True)}
     model = train(docs, labels)
-    plan = solve(durable(with_posteriors(docs.select(F.col("text").alias("_of")), model, "_of").select("_tokens", "_posterior")), targets)
-    return with_rates(with_posteriors(docs, model), plan).where(chance("doc_id") < F.col("_rate")).drop("_tokens", "_posterior", "_rate")
+    rows = written(with_posteriors(docs.withColumnsRenamed(inner), model, inner["text"]), "posteriors")
+    times = copies(F.col("_rate"), inner["doc_id"])
+    kept = with_rates(rows, solve(rows, targets, most=most)).withColumn("_times", times).where("_times > 0")
+    if most > 1:
+        kept = kept.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return kept.select(*(F.col(f"`{name}`").alias(c) for c, name in inner.items()))
 
 
 def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +316,7 @@ def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = durable(with_posteriors(docs.select("doc_id", F.col("text").alias("_of")), model, "_of").drop("_of"))
     rated = with_rates(rows, solve(rows))
-    return rated.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col("_posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), F.col("_rate").alias("rate"), (chance("doc_id") < F.col("_rate")).cast("int").alias("kept"))
+    return rated.select("doc_id", F.col("_tokens").alias("tokens"), *(F.col("_posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), F.col("_rate").alias("rate"), copies(F.col("_rate"), "doc_id").alias("kept"))
 
 
 QUERIES = {"op5_mixing_rates": op5_mixing_rates}
