@@ -221,8 +221,9 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-#: Links of a node beyond which it counts as a hub, at least, and hubs of a round at most (two numbers each are broadcast).
-HUB = 1000
+#: Links of a node beyond which it counts as a hub, at least (what one task reads in a moment), and hubs of a round at
+#: most (two numbers each are broadcast).
+HUB = 100_000
 HUBS = 16384
 
 
@@ -233,6 +234,8 @@ def _with_heads(rows: DataFrame, heads: DataFrame, links: int) -> DataFrame:
     there are at most ``HUBS`` of them, whatever the size. All other nodes are joined by a shuffle.
     """
     limit = max(HUB, -(-2 * links // HUBS))
+    if 2 * links <= limit:  # no node can be a hub
+        return rows.join(heads.select("v", "to"), "v")
     hubs = F.broadcast(heads.where(F.col("n") > limit).select("v", "to"))
     rest = rows.join(hubs.select("v"), "v", "left_anti").join(heads.where(F.col("n") <= limit).select("v", "to"), "v")
     return rows.join(hubs, "v").unionByName(rest)

@@ -1,8 +1,8 @@
 """Quality classification by nearest-neighbour voting over latent-semantic vectors.
 
 Terms are pairs of neighbouring character classes (each ASCII sign is a class of its own; lower case, capitals,
-digits, spaces, line ends and other scripts are one class each) and words that repeat the word before them, by
-length, so a term count needs no vocabulary. A bounded
+digits, spaces, line ends and other scripts are one class each), words that repeat the word before them, by
+length, and words hashed to a fixed number of places, so a term count needs no vocabulary. A bounded
 sample of labelled documents gives inverse document frequencies and a truncated singular value decomposition;
 its vectors and labels are broadcast. Every document is projected, and exact cosine products with all labelled
 vectors, in blocks, give its nearest neighbours, whose labels vote with the weight of their similarity.
@@ -48,7 +48,12 @@ CLASSES = _classes()
 N_CLASSES = int(CLASSES.max()) + 1
 PAIRS = N_CLASSES * N_CLASSES
 LENGTHS = 16
-TERMS = PAIRS + LENGTHS
+#: Places that words, A-Z as small letters, are hashed to, and the weight of such a term beside one of a pair.
+HASHED = 256
+WORD_WEIGHT = 0.5
+TERMS = PAIRS + LENGTHS + HASHED
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Bytes that part words.
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -62,10 +67,11 @@ def term_counts(column) -> np.ndarray:
     classes = CLASSES[data].astype(np.int64)
     row = np.repeat(np.arange(n), np.diff(offsets))
     pairs = row[:-1] * TERMS + classes[:-1] * N_CLASSES + classes[1:]
-    word, of, length = word_hashes(data, offsets, ~BLANK[data])
+    word, of, length = word_hashes(_LOWER[data], offsets, ~BLANK[data])
     again = np.flatnonzero((word[1:] == word[:-1]) & (of[1:] == of[:-1])) + 1
     repeats = of[again] * TERMS + PAIRS + np.minimum(length[again], LENGTHS - 1)
-    return np.bincount(np.concatenate((pairs[row[:-1] == row[1:]], repeats)), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
+    words = of * TERMS + PAIRS + LENGTHS + (word % np.uint64(HASHED)).astype(np.int64)
+    return np.bincount(np.concatenate((pairs[row[:-1] == row[1:]], repeats, words)), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -109,6 +115,7 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Neighbours:
     if not len(labels):
         return Neighbours(np.ones(TERMS, np.float32), np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), labels, 0.5)
     weight = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    weight[PAIRS + LENGTHS :] *= WORD_WEIGHT
     x = np.log1p(counts, dtype=np.float32)
     x *= weight
     _unit(x)

@@ -35,19 +35,23 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.999
 #: Minimum hashes of a set, each a sampled token.
 TOKENS = 64
+#: The same for sets that take a further turn: enough for all runs that paths of full depth ask for.
+MORE_TOKENS = 128
 SMALL = 48
 DEPTH = 6
 #: Signature agreement below which a pair in a bucket is not suggested: four standard deviations under the threshold.
 SUGGEST = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 #: Sets of a block: a group of G sets is dealt out as G / BLOCK copies of each set, and a unit's matrices have BLOCK^2 numbers.
 BLOCK = 2048
+#: Row numbers that are broadcast, at most.
+SENT = 1 << 20
 SET_SCHEMA = "rid long, doc_id long, set_key binary, n_shingles int, signature binary, shingles binary"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_ODD = mixed(np.arange(1, TOKENS + WORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_ODD = mixed(np.arange(1, MORE_TOKENS + WORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +79,14 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     return value, np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n))))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The least hash of each set under each of ``TOKENS`` hash functions; empty sets have zeros."""
-    out = np.zeros((len(offsets) - 1, TOKENS), np.uint32)
+def signatures(values: np.ndarray, offsets: np.ndarray, tokens: int = TOKENS) -> np.ndarray:
+    """The least hash of each set under each of ``tokens`` hash functions; empty sets have zeros."""
+    out = np.zeros((len(offsets) - 1, tokens), np.uint32)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
         with np.errstate(over="ignore"):
-            for t in range(TOKENS):
-                out[full, t] = np.minimum.reduceat((values * _ODD[t]) >> np.uint64(32), offsets[full])
+            for t in range(tokens):
+                out[full, t] = np.minimum.reduceat((values * _ODD[t if t < TOKENS else t + WORDS]) >> np.uint64(32), offsets[full])
     return out
 
 
@@ -134,19 +138,19 @@ def fresh_signatures(sets: DataFrame, turn: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([*map(len, bodies)]))).astype(np.int64)
                 with np.errstate(over="ignore"):
                     values = mixed(np.concatenate(bodies).astype(np.uint64) + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([x.tobytes() for x in signatures(values, offsets)], pa.binary())], ["rid", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([x.tobytes() for x in signatures(values, offsets, MORE_TOKENS)], pa.binary())], ["rid", "signature"])
 
     return mapped(sets.select("rid", "shingles"), run, "rid long, signature binary")
 
 
-def chosen_paths(sets: DataFrame, runs: int, rows: int | None = None, small: int = SMALL, depth: int = DEPTH, turn: int = 0) -> tuple[DataFrame, DataFrame]:
+def chosen_paths(sets: DataFrame, runs: int, rows: int | None = None, small: int = SMALL, depth: int = DEPTH, turn: int = 0, tokens: int = TOKENS) -> tuple[DataFrame, DataFrame]:
     """Leaves of the recursive splits of all runs: ``leaf``, ``deep`` (it is still large) and ``rid``; no leaf has one set only.
     And the splits that each set went through: ``rid`` and ``more``, what each adds to the logarithm of missing a pair.
 
     Runs and depths use tokens of their own, so that runs are independent. Only paths and row numbers are dealt out;
     signatures are looked up again for the buckets that are split on. ``rows``: sets expected.
     """
-    if runs * depth > TOKENS:
+    if runs * depth > tokens:
         raise ValueError("runs share tokens")
     most = None if rows is None else rows * runs
     token = lambda d: F.substring("signature", (F.col("run") * depth + (d - 1)) * 4 + 1, F.lit(4))
@@ -175,18 +179,23 @@ def candidates(signed: DataFrame, shingles: DataFrame, recall: float, rows: int)
     is safe as soon as one of its sets is, as both follow the same path for as long as they are together.)
     """
     goal = math.log(1 - recall)
-    runs, turn, sets, pairs = min(runs_for(recall), TOKENS // DEPTH), 0, signed, None
+    tokens, turn, sets, pairs = TOKENS, 0, signed, None
+    runs = min(runs_for(recall), tokens // DEPTH)
     short = signed.select("rid", F.lit(0.0).alias("miss"))
     while True:
-        leaves, splits = chosen_paths(sets, runs, rows, turn=turn)
-        found = suggested(durable(leaves, rows * runs), signed)
+        leaves, splits = chosen_paths(sets, runs, rows, turn=turn, tokens=tokens)
+        found = suggested(durable(leaves, rows * runs), sets)
         pairs = found if pairs is None else pairs.unionByName(found)
         more = splits.groupBy("rid").agg(F.sum("more").alias("more"))
         short = durable(short.join(more, "rid", "left").select("rid", (F.col("miss") + runs * missed(1) + F.coalesce("more", F.lit(0.0))).alias("miss")).where(F.col("miss") > goal), rows)
-        if short.isEmpty():
+        rows = short.count()
+        if not rows:
             return pairs.distinct() if turn else pairs
-        turn += 1
-        sets = durable(fresh_signatures(shingles.join(short.select("rid"), "rid"), turn), rows)
+        turn, tokens = turn + 1, MORE_TOKENS
+        runs = tokens // DEPTH
+        # a checked number of row numbers is broadcast, so that shingles stay where they are
+        left = short.select("rid")
+        sets = durable(fresh_signatures(shingles.join(F.broadcast(left) if rows <= SENT else left, "rid"), turn))
 
 
 def suggested(leaves: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,8 +204,8 @@ def suggested(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for table in groups(batches, "leaf"):
             rid = table.column("rid").to_numpy()
-            signs = np.frombuffer(b"".join(x.as_py() for x in table.column("signature")), np.uint32).reshape(-1, TOKENS)
-            near = (signs[:, None, :] == signs[None, :, :]).sum(2) >= SUGGEST * TOKENS
+            signs = np.frombuffer(b"".join(x.as_py() for x in table.column("signature")), np.uint32).reshape(len(rid), -1)
+            near = (signs[:, None, :] == signs[None, :, :]).sum(2) >= SUGGEST * signs.shape[1]
             left, right = np.nonzero(np.triu(near, 1))
             root = forest(len(rid), left, right)
             own = np.flatnonzero(root != np.arange(len(rid)))

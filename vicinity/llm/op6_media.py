@@ -205,7 +205,7 @@ def feature(scan: Scan) -> str:
     return f"{scan.codec}|{scan.handler}|{scan.timescale}|{scan.duration}|{len(scan.starts)}|{len(ranges)}|{zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration long, timescale long, n_samples long, key_starts array<long>, key_ends array<long>"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -219,8 +219,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = write_container(padded(data))
                 scan = scan_container(media)
                 back = scan.samples(media)
-                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(scan)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(scan), scan.codec, scan.duration, scan.timescale, len(scan.starts), *scan.key_ranges().T.tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *(pa.int64(),) * 3, *(pa.list_(pa.int64()),) * 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], [x.split()[0] for x in DIGEST.split(", ")])
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("data")), run, DIGEST)
