@@ -16,6 +16,10 @@ from .distances import FLOOR, NO_LOG, TINY, space
 BATCHED = ("l1", "l2", "l2sqr", "linf", "negdotprod", "cosinesimil", "angulardist")
 
 
+#: Cells of the dense form of sparse objects, about.
+SPREAD = 1 << 22
+
+
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return x @ q.T
 
@@ -110,9 +114,24 @@ def _norm_leven(a: str, b: str) -> float:
     return _leven(a, b) / longest if longest else 0.0
 
 
-def _jaccard(a: Sequence[int], b: Sequence[int]) -> float:
-    x, y = set(a), set(b)
-    return 1 - len(x & y) / len(x | y) if x and y else 0.0
+def _jaccard(x: Sequence, q: Sequence) -> np.ndarray:
+    """From sizes and shared items, which are products of memberships of the queries' items."""
+    a, b = [np.unique(np.array(v, np.int64)) for v in x], [np.unique(np.array(v, np.int64)) for v in q]
+    items = np.unique(np.concatenate([*b, np.zeros(0, np.int64)]))
+
+    def members(sets: list[np.ndarray]) -> np.ndarray:
+        m = np.zeros((len(sets), len(items)), np.float32)
+        flat, row = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [*map(len, sets)])
+        at = np.searchsorted(items, flat)
+        hit = at < len(items)
+        hit[hit] = items[at[hit]] == flat[hit]
+        m[row[hit], at[hit]] = 1
+        return m
+
+    shared = (members(a) @ members(b).T).astype(np.float64)
+    size, other = np.array([*map(len, a)], float)[:, None], np.array([*map(len, b)], float)[None, :]
+    every = size + other - shared
+    return np.where((size > 0) & (other > 0), 1 - shared / np.maximum(every, 1), 0.0).reshape(len(a), len(b))
 
 
 def _words(x: Sequence[Sequence[int]]) -> np.ndarray:
@@ -134,6 +153,9 @@ def _sparse(name: str) -> Callable:
 
     def f(x: Sequence, q: Sequence, **params) -> np.ndarray:
         pairs = lambda v: [(e["dim"], e["val"]) if isinstance(e, dict) else (e[0], e[1]) for e in v]
+        if len(x) > 1 and len(x) * sum(map(len, x)) > SPREAD:  # wide sets of dimensions: fewer objects at a time
+            half = len(x) // 2
+            return np.concatenate((f(x[:half], q, **params), f(x[half:], q, **params)))
         rows = [pairs(v) for v in [*x, *q]]
         place = {d: i for i, d in enumerate(sorted({d for r in rows for d, _ in r}))}
         m = np.zeros((len(rows), max(1, len(place))))
@@ -160,7 +182,7 @@ KERNELS: dict[str, Callable[..., np.ndarray]] = {
     "spearman_rho": lambda x, q: np.square(x[:, None, :] - q[None, :, :]).sum(2),
     "leven": _each(_leven),
     "normleven": _each(_norm_leven),
-    "jaccard_sparse": _each(_jaccard),
+    "jaccard_sparse": _jaccard,
     "bit_hamming": _hamming,
     "bit_jaccard": _bit_jaccard,
     "renyidiv_slow": _renyi,

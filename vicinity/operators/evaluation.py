@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import distance
-from .knn import knn
+from .knn import search
 
 #: How many times k a gold standard keeps.
 DEPTH = 10
@@ -19,7 +19,7 @@ SAME = 4 * 2.0**-23
 
 
 def gold_standard(points: DataFrame, queries: DataFrame, k: int, dist: str = "l2", payload: str = "vec", depth: int = DEPTH, **params) -> DataFrame:
-    return knn(points, queries, k * depth, dist, payload, **params)
+    return search(points, queries, k * depth, dist, payload, params)
 
 
 def cached_gold(gold: DataFrame, path: str | None) -> DataFrame:
@@ -47,6 +47,12 @@ def recall(gold: DataFrame, approx: DataFrame, k: int) -> DataFrame:
     return size.join(hits, "query_id", "left").select("query_id", F.least(F.lit(1.0), F.coalesce("hits", F.lit(0)) / F.col("size")).alias("recall"))
 
 
+def recall_in_range(exact: DataFrame, approx: DataFrame) -> DataFrame:
+    """Share of the points in range found: (query_id, recall), for queries that have any."""
+    hits = exact.join(approx.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
+    return exact.groupBy("query_id").agg(F.count("*").alias("size")).join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("size")).alias("recall"))
+
+
 def num_closer(gold: DataFrame, approx: DataFrame) -> DataFrame:
     """Exact points strictly closer than the best point returned: (query_id, num_closer)."""
     best = approx.groupBy("query_id").agg(F.min("dist").alias("_best"))

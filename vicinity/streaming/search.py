@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.knn import knn
+from ..operators.knn import search
 
 
-def append_points(stream: DataFrame, path: str, checkpoint: str):
-    """Starts to store arriving points (id, payload) under ``path``, one folder a micro-batch; a repeated batch replaces itself."""
+def append_points(stream: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Starts to store arriving points (id, payload) under ``path``, one folder a micro-batch; a repeated batch replaces
+    itself. ``once``: stops when all that is there now is stored."""
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).start()
+    out = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
 
 
 def stored_points(spark: SparkSession, path: str, deleted: DataFrame | None = None) -> DataFrame:
@@ -32,6 +34,6 @@ def answer_stream(queries: DataFrame, points: DataFrame, k: int, sink: str, chec
     """Starts to answer arriving queries; each micro-batch's answers are appended under ``sink``."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        knn(points, batch, k, dist, payload).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        search(points, batch, k, dist, payload).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()
