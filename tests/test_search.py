@@ -117,6 +117,135 @@ def test_graph_deletion(points):
     assert left.count() >= delete_points(edges, points, gone, patch=False).count()
 
 
+def plans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("method", "space_name", "params"), [("vptree", "l2", {"bucketSize": 20}), ("hnsw", "l2", {"M": 8, "efConstruction": 40, "maxM0": 12, "mult": 0.5, "delaunay_type": 3, "post": 1}), ("sw-graph", "kldivfast", {"NN": 8, "efConstruction": 40, "useProxyDist": True}), ("napp", "l2", {"numPivot": 40, "numPivotIndex": 16}), ("brute_force", "l2", {})])
+def test_a_loaded_index_is_not_built_again(spark, data, tmp_path, monkeypatch, method, space_name, params):
+    rows = np.abs(data) + 0.01 if space_name == "kldivfast" else data
+    index = init(spark, space_name, method=method)
+    index.addDataPointBatch(rows)
+    index.createIndex(params)
+    queries = spark.createDataFrame([(i, rows[i].tolist()) for i in range(8)], "query_id long, vec array<double>")
+    want = sorted((r.query_id, r.rank, r.id, round(r.dist, 9)) for r in index.knnQueryBatch(queries, 5).collect())
+    index.saveIndex(str(tmp_path / "index"))
+    for name in ("build", "extend"):
+        monkeypatch.setattr(f"vicinity.operators.graphs.Graph.{name}", None)
+    monkeypatch.setattr("vicinity.operators.vptree.build_tree", None)
+    monkeypatch.setattr("vicinity.operators.inverted.with_prefix", None)
+    again = init(spark, space_name, method=method)
+    again.loadIndex(str(tmp_path / "index"))
+    found = again.knnQueryBatch(queries, 5)
+    assert sorted((r.query_id, r.rank, r.id, round(r.dist, 9)) for r in found.collect()) == want
+    assert "FlatMapGroupsInArrow" not in plans(found) and len(again) == 400
+
+
+def test_only_reached_leaves_are_read(spark, tmp_path):
+    line = spark.range(4000).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("vec"))
+    index = VPTree.build(line, bucket=50, path=str(tmp_path))
+    near = spark.createDataFrame([(7, [1000.2, 0.0])], "query_id long, vec array<double>")
+    assert [r.id for r in index.knn(near, 3).orderBy("rank").collect()] == [1000, 1001, 999]
+    assert index.distance_computations(near, 3).first().n < 400
+    assert "leaf" in plans(index.range_search(near, 5.0)).split("PushedFilters")[1][:200]
+
+
+@pytest.mark.parametrize("method", ["hnsw", "sw-graph", "vptree", "napp"])
+def test_add_and_delete(spark, data, points, method):
+    index = init(spark, "l2", method=method)
+    index.addDataPointBatch(points.where("id < 300"))
+    index.createIndex({"numPivot": 32, "numPivotIndex": 16} if method == "napp" else None)
+    index.addBatch(points.where("id >= 300"))
+    index.deleteBatch(points.where("id % 4 = 1").select("id"))
+    assert len(index) == 300
+    if method in ("hnsw", "sw-graph"):
+        index.setQueryTimeParams({"efSearch": 80})
+    left = np.array([i for i in range(400) if i % 4 != 1])
+    hits = 0
+    for i in (5, 301, 399):
+        found = index.knnQuery(data[i], k=10)[0].tolist()
+        assert not [j for j in found if j % 4 == 1]
+        hits += len(set(found) & set(left[exact(data[left], data[i], 10)].tolist()))
+    assert hits >= 24
+
+
+def test_inverted_file_answers_in_its_space(spark):
+    points = [[(0, 2.0), (1, 1.0)], [(0, 1.0)], [(5, 1.0)]]
+    for name, dists in (("cosinesimil_sparse", [0.0, 1 - 2 / 5**0.5]), ("negdotprod_sparse_fast", [-2.0, -1.0])):
+        index = init(spark, name, method="simple_invindx", data_type="SPARSE_VECTOR")
+        index.addDataPointBatch(points)
+        index.createIndex()
+        ids, got = index.knnQuery([(0, 1.0)], k=5)
+        assert ids.tolist() == ([1, 0] if name.startswith("cos") else [0, 1]) and got == pytest.approx(dists)
+    other = init(spark, "l1_sparse", method="simple_invindx", data_type="SPARSE_VECTOR")
+    other.addDataPointBatch(points)
+    with pytest.raises(ValueError, match="inner products"):
+        other.createIndex()
+
+
+def test_folded_pivots_and_budget(spark):
+    r = random.Random(4)
+    rows = [sorted({(r.randint(0, 300), 1.0 + r.random()) for _ in range(20)}) for _ in range(200)]
+    rows = [list(dict(x).items()) for x in rows]
+    index = init(spark, "cosinesimil_sparse", method="napp", data_type="SPARSE_VECTOR")
+    index.addDataPointBatch(rows)
+    with pytest.raises(ValueError, match="fewer pivots"):
+        index.createIndex({"numPivot": 200})
+    index.createIndex({"numPivot": 50, "numPivotIndex": 20, "hashTrickDim": 64})
+    assert index.knnQuery(rows[11], k=1)[0].tolist() == [11]
+    index.setQueryTimeParams({"useSort": True, "knnAmp": 3, "numPivotSearch": 1})
+    assert index.knnQuery(rows[11], k=1)[0].tolist() == [11]
+    index.setQueryTimeParams({"skipChecking": True})
+    assert index.knnQuery(rows[11], k=1)[1].tolist() == [-20.0]
+
+
+def test_tuned_index(spark, points, tmp_path):
+    index = init(spark, "l2", method="vptree")
+    index.addDataPointBatch(points)
+    index.createIndex({"tuneK": 3, "desiredRecall": 0.8, "tuneQty": 8, "bucketSize": 20})
+    assert index.query_params["alphaLeft"] >= 1.0
+    index.saveIndex(str(tmp_path / "t"))
+    again = init(spark, "l2", method="vptree")
+    again.loadIndex(str(tmp_path / "t"))
+    assert again.query_params == index.query_params
+    with pytest.raises(ValueError):
+        index.createIndex({"desiredRecall": 0.8})
+
+
+def test_free_functions_and_sparse_matrices(spark, data):
+    from types import SimpleNamespace
+
+    from vicinity.plans import session
+
+    index = init(spark, "l2", method="brute_force")
+    session.addDataPointBatch(index, list(range(20)), data[:20])
+    session.createIndex(index)
+    assert session.knnQuery(index, 1, data[4]) == [4] and session.knnQueryBatch(index, 1, 1, data[:3]) == [[0], [1], [2]]
+    assert session.getDataPointQty(index) == 20 and session.getDataPoint(index, 3) == pytest.approx(data[3].tolist())
+    session.freeIndex(index)
+    assert len(index) == 0
+    csr = SimpleNamespace(indptr=np.array([0, 2, 2, 3]), indices=np.array([3, 0, 7]), data=np.array([2.0, 1.0, 5.0]))
+    assert session.sparse_rows(csr) == [[(0, 1.0), (3, 2.0)], [], [(7, 5.0)]]
+    with pytest.raises(ValueError):
+        init(spark, "l2", method="hnsw").createIndex({"post": 9})
+
+
+def test_infinite_and_undefined_distances_stay(spark):
+    p = spark.createDataFrame([(0, [0.0]), (1, [float("inf")]), (2, [float("nan")])], "id long, vec array<double>")
+    q = spark.createDataFrame([(0, [0.0])], "query_id long, vec array<double>")
+    from vicinity.operators.knn import knn_blocks
+
+    assert [r.id for r in knn_blocks(p, q, 5, "l1").orderBy("rank").collect()] == [r.id for r in knn(p, q, 5, "l1").orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_tools(spark, points):
+    from vicinity.plans.tools import distance_rates, tune_vptree
+
+    got = tune_vptree(points, "l2", None, 0.9, radius=3.0, queries=8, bucket=20)
+    assert got["recall"] >= 0.9 and got["impr_dist_comp"] >= 1
+    assert {r.space for r in distance_rates(spark, ["l2", "l1"], 8, 500, 10).collect()} == {"l2", "l1"}
+
+
 def test_bootstrap_needs_enough_points(points):
     with pytest.raises(ValueError):
         ev.bootstrap_split(points, 10, 100)
@@ -202,6 +331,10 @@ def test_experiment(spark, points, tmp_path):
     labelled.write.parquet(str(tmp_path / "points"))
     experiment.main(["--points", str(tmp_path / "points"), "--space", "l2", "--method", "brute_force", "--knn", "3", "--maxNumQuery", "5", "--output", str(tmp_path / "report")])
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "report")).first().recall == "1.0"
+    asked = points.where("id < 4").select(F.col("id").alias("query_id"), "vec")
+    for more in ({"radius": 3.0}, {"eps": 0.5, "recall_only": True}):
+        got = experiment.run(spark, points, "l2", "vptree", 5, asked=asked, **more).first()
+        assert got.recall >= 0.5 and got.num_closer is None
 
 
 def test_binary_readers(spark, tmp_path):
