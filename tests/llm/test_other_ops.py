@@ -253,3 +253,20 @@ def test_pipeline(spark, small, docs):
     assert Counter((r.doc_id, r.ids_sha256) for r in run.collect()) == Counter((r.doc_id, r.ids_sha256) for r in kept.collect())
     original = dict(texts(docs))
     assert run.where(F.col("doc_id").isin([i for i, t in original.items() if t])).count() == counts[5]
+
+
+def test_pipeline_of_odd_rows(spark, small, odd, none):
+    from vicinity.llm._common import tables_so_far
+
+    for df in (odd, none):
+        docs = df
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, small)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        rows = docs.collect()
+        assert len(rows) <= df.count()
+        assert all(r.n_tokens >= 1 for r in rows)
+    before = tables_so_far()
+    assert corpus_pipeline.run(spark, small).count() > 0
+    assert tables_so_far() == before + 1

@@ -58,11 +58,18 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes the tables of ``written``, once no result that reads them is needed any more."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+def tables_so_far() -> int:
+    """A mark for ``drop_tables``."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables of ``written`` that were made after a mark, but for the last ``keep``, once no result that
+    reads them is needed any more."""
+    for place in _tables[since : len(_tables) - keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _tables.remove(place)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
