@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept: quality classification drops
 rejected documents; the near-duplicate join leaves one document of each class; the secret scan replaces secrets in
 the texts; mixing keeps documents by the rates that meet the domain targets; encoding returns token ids.
+
+Defined results: a null text is empty: it has the score of the label share, is no near duplicate, keeps no secret and
+encodes to the end id alone; rows that are equal in all columns count as one document; rows with null ids are kept or
+dropped like others; nulls in lang, source and n_chars stay; extra columns are left out; an empty table gives an empty
+table. A stage's tables in the shared folder go once its result is written.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.llm import op4_near_duplicates, op5_mixing, op8_secrets, op9_sentencepiece, op10_quality
-from vicinity.llm._common import documents, written
+from vicinity.llm._common import documents, drop_tables, tables_so_far, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,9 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The encoded documents; what earlier stages wrote is deleted as soon as the next one has read it."""
+    docs, since = documents(spark, sf_dir), tables_so_far()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, "stage")
+            drop_tables(spark, since, keep=1)
     return docs
