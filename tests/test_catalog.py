@@ -61,9 +61,9 @@ def test_graph_recall_over_all_rows(spark, large, name):
 
 def test_graphs_link_all_rows(spark, large):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{large}/embeddings.parquet").select("vec_id").collect()}
-    linked = lambda name: {r["src"] for r in catalog.queries()[name](spark, large).select("src").distinct().collect()}
-    assert linked("graph_edges") == ids
-    assert linked("graph_delete") == {i for i in ids if i % 10 != 3}
+    linked = lambda name, c: {r[0] for r in catalog.queries()[name](spark, large).select(c).distinct().collect()}
+    assert linked("graph_edges", "src") == ids
+    assert linked("graph_delete", "id") == {i for i in ids if i % 10 != 3}
 
 
 def test_data_folder():

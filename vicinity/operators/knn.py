@@ -182,13 +182,14 @@ def in_blocks(dist: Pair | str) -> bool:
 
 def search(points: DataFrame, queries: DataFrame, k: int, dist: str = "l2", payload: str = "vec", params: dict | None = None) -> DataFrame:
     """k nearest points by the cheapest exact plan for the space."""
-    return (knn_blocks if in_blocks(dist) else knn)(points, queries, k, dist, payload, **(params or {}))
+    params = params or {}
+    return knn_blocks(points, queries, k, dist, payload, **params) if in_blocks(dist) else knn(points, queries, k, distance(dist, **params), payload)
 
 
 def search_range(points: DataFrame, queries: DataFrame, radius: float, dist: str = "l2", payload: str = "vec", params: dict | None = None) -> DataFrame:
     """All points within the radius by the cheapest exact plan for the space."""
     if not in_blocks(dist):
-        return range_search(points, queries, radius, dist, payload, **(params or {}))
+        return range_search(points, queries, radius, distance(dist, **(params or {})), payload)
     return _union(scan(points, b, dist, payload, params or {}, radius=radius) for b in query_blocks(queries))
 
 
