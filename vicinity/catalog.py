@@ -99,6 +99,22 @@ KNN: dict[str, tuple] = {
     "sparse_negdot": ("negdotprod_sparse_fast", {}, SPARSE, f"-{_each('#x * #y')}"),
     "sparse_querynorm": ("querynorm_negdotprod_sparse_fast", {}, SPARSE, f"-{_each('#x * #y')} / sqrt(list_sum(list_transform(q, lambda x: x * x)))"),
 }
+#: Further names of spaces above, each answered by a query of its own.
+SAME_AS = {
+    "itakura_slow": ("itakurasaitoslow", "itakura"),
+    "js_div_slow": ("jsdivslow", "js_div"),
+    "js_div_approx": ("jsdivfastapprox", "js_div"),
+    "js_metric_slow": ("jsmetrslow", "js_metric"),
+    "renyi_slow": ("renyidiv_slow", "renyi"),
+    "alphabeta_slow": ("abdiv_slow", "alphabeta"),
+    "sparse_angular_plain": ("angulardist_sparse", "sparse_angular"),
+    "sparse_negdot_plain": ("negdotprod_sparse", "sparse_negdot"),
+    "sparse_querynorm_plain": ("querynorm_negdotprod_sparse", "sparse_querynorm"),
+    "sparse_cosine_fast": ("cosinesimil_sparse_fast", "sparse_cosine"),
+    "sparse_cosine_bin": ("cosinesimil_sparse_bin_fast", "sparse_cosine"),
+    "sparse_negdot_bin": ("negdotprod_sparse_bin_fast", "sparse_negdot"),
+}
+KNN |= {name: (space, *KNN[other][1:]) for name, (space, other) in SAME_AS.items()}
 
 
 def _base(payload: str, where: str = "TRUE") -> str:
@@ -122,6 +138,21 @@ def _knn_query(name: str) -> Query:
     return run
 
 
+def _expression(name: str) -> Query:
+    """The same search by the space's column expression."""
+    space, params, (payload, _), _ = KNN[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = _points(spark, sf_dir, payload)
+        return _rounded(knn(p, _queries(p), K, distance(space, **params)))
+
+    return run
+
+
+#: Searches that are answered by expressions too: one for each kind of payload.
+EXPRESSIONS = ("knn_l2", "knn_cosine", "klgen", "js_div", "sparse_cosine", "set_jaccard", "bit_hamming", "footrule")
+
+
 def range_l2(spark, sf_dir):
     p = _points(spark, sf_dir)
     return _rounded(search_range(p, _queries(p), 1.2, "l2"))
@@ -456,7 +487,8 @@ def improvement(spark, sf_dir):
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _knn_query(name) for name in KNN}
     out |= {f.__name__: f for f in (range_l2, range_cosine, knn_l2_batched, knn_cosine_batched, knn_graph, filtered_knn, point_distance, invindex_topk, postings, perm_prefix, permutation, napp_postings, napp_knn, hash_trick, overlap_info, vptree_knn, vptree_range, gold_standard, recall, num_closer, recall_at_1, precision_of_approx, rel_pos_error, metric_summary, knn_classify, class_accuracy, bootstrap_split, intrinsic_dim, intrinsic_dim_sampled, normalize, center, mean_vector, bregman_mean, bregman_gradient, projection, fusion_negdot, graph_edges, graph_nodes, graph_delete, graph_add_delete_knn, stream_add_knn, pivot_distances, binarized, improvement)}
-    out |= {"leven": _strings("leven"), "normleven": _strings("normleven"), "overlap2": _overlap(2), "overlap3": _overlap(3)}
+    out |= {f"{name}_expression": _expression(name) for name in EXPRESSIONS}
+    out |= {"leven_char": _strings("leven_char"), "leven": _strings("leven"), "normleven": _strings("normleven"), "overlap2": _overlap(2), "overlap3": _overlap(3)}
     out |= {"sqfd_minus": _sqfd("sqfd_minus_func"), "sqfd_heuristic": _sqfd("sqfd_heuristic_func", alpha=1.0), "sqfd_gaussian": _sqfd("sqfd_gaussian_func", alpha=1.0)}
     out |= {"hnsw_knn": _graph("hnsw", m=12, ef_construction=80), "swgraph_knn": _graph("sw-graph", m=12, ef_construction=60)}
     out |= {"hnsw_recall": _found("hnsw", 120, m=12, ef_construction=80), "swgraph_recall": _found("sw-graph", 120, m=12, ef_construction=60)}
@@ -478,7 +510,8 @@ def oracle_sql() -> dict[str, str]:
     out["filtered_knn"] = _knn_sql("v", l2, "p.label < 5")
     out["stream_add_knn"] = _knn_sql("v", l2, "p.id % 5 <> 4")
     out["point_distance"] = f"WITH {_P} SELECT x.id AS a, y.id AS b, round(sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS dist FROM p x JOIN p y ON y.id = x.id + 1"
-    out |= {"leven": _strings_sql("levenshtein(p.v, x.v)"), "normleven": _strings_sql("levenshtein(p.v, x.v)::DOUBLE / greatest(strlen(p.v), strlen(x.v))")}
+    out |= {f"{name}_expression": out[name] for name in EXPRESSIONS}
+    out |= {"leven_char": _strings_sql("levenshtein(p.v, x.v)"), "leven": _strings_sql("levenshtein(p.v, x.v)"), "normleven": _strings_sql("levenshtein(p.v, x.v)::DOUBLE / greatest(strlen(p.v), strlen(x.v))")}
     sparse = f"b AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT id, unnest(range(0, 64)) AS key, unnest(v) AS val FROM b), s AS (SELECT * FROM e WHERE abs(val) > 0.15)"
     out["invindex_topk"] = f"WITH {sparse}, d AS (SELECT y.id AS query_id, x.id, -sum(x.val * y.val) AS dist FROM s x JOIN s y ON x.key = y.key WHERE y.id % {EVERY} = 0 GROUP BY ALL) {_TOP}"
     out["postings"] = f"WITH {sparse} SELECT CAST(key AS INTEGER) AS key, count(*) AS docs, round(sum(val), 6) AS total FROM s GROUP BY key"
