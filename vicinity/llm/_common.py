@@ -113,6 +113,13 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives the driver's memory back, after a fit or between the parts of a long plan: both its processes keep what
+    they once took, and Spark lets go of finished shuffles, broadcasts and checkpoints when its collector runs."""
+    release()
+    spark._jvm.System.gc()
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, flat_bytes, mapped, release, slices, whole_text, word_hashes
+from ._common import documents, flat_bytes, mapped, slices, tidy, whole_text, word_hashes
 
 #: Labelled documents that the classifier learns from, at most: those of the smallest hash of their id.
 SAMPLE = 4096
@@ -111,16 +111,27 @@ class Neighbours:
         return out
 
 
-def fit(counts: np.ndarray, labels: np.ndarray) -> Neighbours:
+def leading(x: np.ndarray, rank: int, rounds: int = 24, more: int = 16) -> np.ndarray:
+    """The leading right singular vectors of x, as columns, by subspace iteration: no matrix of terms by terms is made."""
+    width = min(rank + more, *x.shape)
+    basis = np.linalg.qr(np.random.default_rng(10).standard_normal((x.shape[1], width)))[0].astype(np.float32)
+    for _ in range(rounds):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    # within the subspace the exact vectors, in order of their singular values
+    turned = np.linalg.svd(x @ basis, full_matrices=False)[2].T
+    return (basis @ turned)[:, :rank].astype(np.float32)
+
+
+def fit(logs: np.ndarray, labels: np.ndarray) -> Neighbours:
+    """Fits on log(1 + count) of each term in each labelled document."""
     if not len(labels):
         return Neighbours(np.ones(TERMS, np.float32), np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32), labels, 0.5)
-    weight = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    weight = (np.log((1 + len(logs)) / (1 + np.count_nonzero(logs, axis=0))) + 1).astype(np.float32)
     weight[PAIRS + LENGTHS :] *= WORD_WEIGHT
-    x = np.log1p(counts, dtype=np.float32)
+    x = logs.astype(np.float32)
     x *= weight
     _unit(x)
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = vectors[:, ::-1][:, :RANK].astype(np.float32)
+    basis = leading(x, RANK)
     return Neighbours(weight, basis, _unit(x @ basis), labels, float(labels.mean()))
 
 
@@ -137,24 +148,24 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, marks: DataFrame, label: str = "quality", size: int = SAMPLE) -> Neighbours:
-    """Fits on labelled rows outside the held-out fold. The driver gets ``size`` count vectors at most."""
+    """Fits on labelled rows outside the held-out fold. The driver gets ``size`` term vectors of half precision at most."""
 
     def count(batches):
         for batch in batches:
             for a, b in slices(batch, "_text", rows=256):
                 part = batch.slice(a, b - a)
-                counts = np.minimum(term_counts(part.column("_text")), np.iinfo(np.int32).max).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([x.tobytes() for x in counts], pa.binary())], ["label", "counts"])
+                logs = np.log1p(term_counts(part.column("_text"))).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([x.tobytes() for x in logs], pa.binary())], ["label", "logs"])
 
-    rows = mapped(sampled(docs, marks, label, ~held_out(), size).select("_label", "_text"), count, "label double, counts binary").toArrow()
-    counts = np.empty((rows.num_rows, TERMS), np.float32)
-    for i, x in enumerate(rows.column("counts")):
-        counts[i] = np.frombuffer(x.as_buffer(), np.int32)
+    rows = mapped(sampled(docs, marks, label, ~held_out(), size).select("_label", "_text"), count, "label double, logs binary").toArrow()
+    logs = np.empty((rows.num_rows, TERMS), np.float16)
+    for i, x in enumerate(rows.column("logs")):
+        logs[i] = np.frombuffer(x.as_buffer(), np.float16)
     labels = rows.column("label").to_numpy()
     del rows
-    model = fit(counts, labels)
-    del counts
-    release()  # the driver's memory
+    model = fit(logs, labels)
+    del logs
+    tidy(docs.sparkSession)
     return model
 
 

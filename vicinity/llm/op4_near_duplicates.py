@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, documents, durable, flat_bytes, forest, free, groups, mapped, mixed, slices, whole_text, word_hashes, written
+from ._common import components, documents, durable, flat_bytes, forest, free, groups, mapped, mixed, slices, tidy, whole_text, word_hashes, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -191,6 +191,7 @@ def candidates(signed: DataFrame, shingles: DataFrame, recall: float, rows: int)
         rows = short.count()
         if not rows:
             return pairs.distinct() if turn else pairs
+        tidy(signed.sparkSession)
         turn, tokens = turn + 1, MORE_TOKENS
         runs = tokens // DEPTH
         # a checked number of row numbers is broadcast, so that shingles stay where they are
@@ -291,13 +292,16 @@ def classes(sets: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     """For each row of a set table: its class and link count (``rid``, ``doc_id``, ``class_id``, ``n_links``, ``first`` of its class)."""
     by_set = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("rid")).alias("_least"), F.count("*").alias("copies")).select(F.col("_least.rid").alias("rid"), "set_key", "copies")
     n = sets.count()
+    tidy(sets.sparkSession)
     reps = durable(by_set, n)
     full = sets.select("rid", "signature", "shingles")
     signed = full.select("rid", "signature").join(reps.select("rid"), "rid")
     pairs = candidates(signed, full, recall, n)
+    tidy(sets.sparkSession)
     grouped = durable(components(pairs, rows=n).withColumnRenamed("node", "rid"), n)
     near = full.select("rid", "shingles").join(grouped.select("rid"), "rid").join(reps.select("rid", "copies"), "rid")
     found = durable(exact_links(in_units(grouped).join(near, "rid")))
+    tidy(sets.sparkSession)
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rid").alias("a"), F.col("to").alias("b")), rows=n).withColumnRenamed("node", "rid")
     labelled = reps.join(counts, "rid", "left").join(roots, "rid", "left").select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rid").alias("root"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, durable, flat_bytes, free, mapped, release, slices, whole_text, word_hashes, written
+from ._common import documents, durable, flat_bytes, free, mapped, slices, tidy, whole_text, word_hashes, written
 from .op10_quality import BLANK, CLASSES, N_CLASSES
 
 DOMAINS = ("clean", "toxic", "poor")
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Domains:
     domains = got.column("domain").to_numpy()
     model = fit(pairs, domains)
     del pairs, got
-    release()  # the driver's memory
+    tidy(docs.sparkSession)
     return model
 
 
