@@ -350,3 +350,22 @@ def test_binary_readers(spark, tmp_path):
     assert text.read_weights(["a 1 0.5", "", "b 2 0"]) == ({"a": 1.0, "b": 2.0}, {"a": 0.5, "b": 0.0})
     with pytest.raises(ValueError):
         text.read_weights(["a 1"])
+
+
+def test_combined_records(spark, tmp_path):
+    import struct
+
+    path = tmp_path / "fusion.bin"
+    record = lambda name, sparse, dense: struct.pack("<I", len(name)) + name + struct.pack("<I", len(sparse)) + b"".join(struct.pack("<If", *e) for e in sparse) + struct.pack("<2f", *dense)
+    path.write_bytes(struct.pack("<IIIIII", 2, 2, 1, 0, 0, 2) + record(b"a", [(5, 1.0), (2, 0.5)], (1.0, 2.0)) + record(b"bc", [], (0.0, -1.0)))
+    rows = text.read_fusion(spark, str(path)).orderBy("id").collect()
+    assert [(r.extern_id, [tuple(e) for e in r.vec.p0], r.vec.p1) for r in rows] == [("a", [(2, 0.5), (5, 1.0)], [1.0, 2.0]), ("bc", [], [0.0, -1.0])]
+    index, query = text.read_fusion_weights(["queryWeights: 1 2", "indexWeights: 0.5,0.25"])
+    assert (index, query) == ({"p0": 0.5, "p1": 0.25}, {"p0": 1.0, "p1": 2.0})
+    from vicinity.functions.distances import fusion
+
+    points = text.read_fusion(spark, str(path))
+    got = knn(points, points.where("id = 0").select(F.col("id").alias("query_id"), "vec"), 2, fusion(query, sparse=("p0",))).orderBy("rank").collect()
+    assert [(r.id, r.dist) for r in got] == [(0, pytest.approx(-(1.25 + 2 * 5))), (1, pytest.approx(4.0))]
+    with pytest.raises(ValueError):
+        text.read_fusion_weights(["queryWeights: 1", "indexWeights: 1 2"])

@@ -152,11 +152,10 @@ def _sparse(name: str) -> Callable:
     """A dense form over the dimensions that occur in either block."""
 
     def f(x: Sequence, q: Sequence, **params) -> np.ndarray:
-        pairs = lambda v: [(e["dim"], e["val"]) if isinstance(e, dict) else (e[0], e[1]) for e in v]
         if len(x) > 1 and len(x) * sum(map(len, x)) > SPREAD:  # wide sets of dimensions: fewer objects at a time
             half = len(x) // 2
             return np.concatenate((f(x[:half], q, **params), f(x[half:], q, **params)))
-        rows = [pairs(v) for v in [*x, *q]]
+        rows = [_pairs(v) for v in [*x, *q]]
         place = {d: i for i, d in enumerate(sorted({d for r in rows for d, _ in r}))}
         m = np.zeros((len(rows), max(1, len(place))))
         for i, r in enumerate(rows):
@@ -167,6 +166,41 @@ def _sparse(name: str) -> Callable:
     return f
 
 
+def _pairs(v: Sequence) -> list[tuple[int, float]]:
+    return [(e["dim"], e["val"]) if isinstance(e, dict) else (e[0], e[1]) for e in v]
+
+
+def _sparse_product(name: str) -> Callable:
+    """Spaces of inner products: the dimensions of the smaller block make an inverted table, the others only enter the norms."""
+
+    def f(x: Sequence, q: Sequence) -> np.ndarray:
+        both = [[_pairs(v) for v in side] for side in (x, q)]
+        small = min(both, key=lambda side: sum(map(len, side)))
+        dims = np.unique(np.array([d for v in small for d, _ in v], np.int64))
+        if len(x) > 1 and len(x) * len(dims) > SPREAD:  # fewer objects at a time
+            half = len(x) // 2
+            return np.concatenate((f(x[:half], q), f(x[half:], q)))
+        tables, norms = [], []
+        for side in both:
+            row = np.repeat(np.arange(len(side)), [*map(len, side)])
+            dim, val = np.array([d for v in side for d, _ in v], np.int64), np.array([w for v in side for _, w in v], np.float64)
+            at = np.minimum(np.searchsorted(dims, dim), max(len(dims) - 1, 0))
+            hit = dims[at] == dim if len(dims) else np.zeros(len(dim), bool)
+            m = np.zeros((len(side), len(dims)))
+            m[row[hit], at[hit]] = val[hit]
+            tables.append(m)
+            norms.append(np.bincount(row, val * val, minlength=len(side)))
+        p, nx, nq = tables[0] @ tables[1].T, norms[0][:, None], norms[1][None, :]
+        if name == "negdotprod":
+            return -p
+        if name == "querynorm_negdotprod":
+            return -p / np.sqrt(np.maximum(nq, TINY))
+        cosine = np.divide(p, np.sqrt(nx) * np.sqrt(nq), out=np.zeros_like(p), where=(nx >= TINY) & (nq >= TINY)).clip(-1, 1)
+        return np.maximum(0, 1 - cosine) if name == "cosinesimil" else np.arccos(cosine)
+
+    return f
+
+
 KERNELS: dict[str, Callable[..., np.ndarray]] = {
     "l1": lambda x, q: np.abs(x[:, None, :] - q[None, :, :]).sum(2),
     "l2": lambda x, q: np.sqrt(_squared(x, q)),
@@ -197,7 +231,7 @@ for _suffix in ("slow", "fast", "fastapprox"):
 for _base in ("l1", "l2", "linf", "lp"):
     KERNELS[_base + "_sparse"] = _sparse(_base)
 for _base in ("cosinesimil", "angulardist", "negdotprod", "querynorm_negdotprod"):
-    KERNELS |= {_base + s: _sparse(_base) for s in ("_sparse", "_sparse_fast", "_sparse_bin_fast")}
+    KERNELS |= {_base + s: _sparse_product(_base) for s in ("_sparse", "_sparse_fast", "_sparse_bin_fast")}
 
 
 def kernel(name: str, x, q, **params) -> np.ndarray:

@@ -165,6 +165,79 @@ def read_sparse_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SPARSE_BINARY)
 
 
+def fusion_parts(head: bytes) -> tuple[int, list[tuple[bool, int]]]:
+    """Records and, for each part of a record, whether it is sparse and its width, from the start of a file."""
+    import struct
+
+    n, parts = struct.unpack_from("<II", head, 0)
+    return n, [(bool(flag), width) for flag, width in (struct.unpack_from("<II", head, 8 + 8 * i) for i in range(parts))]
+
+
+#: Parts of a combined record, at most.
+MOST_PARTS = 256
+
+
+def read_fusion(spark: SparkSession, path: str) -> DataFrame:
+    """Little-endian records of several vectors: id, extern_id and ``vec``, a struct of parts ``p0``, ``p1`` ...
+
+    A file starts with the number of records and of parts, and a sparsity flag and a width for each part. A record has
+    an id (length and bytes), then its parts: a counted list of (uint32, float), or the floats of a dense one.
+    """
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    first = files.select(F.substring("content", 1, 8 + 8 * MOST_PARTS).alias("h")).first()
+    if first is None:
+        raise ValueError("no file of records")
+    _, parts = fusion_parts(bytes(first["h"]))
+    if len(parts) > MOST_PARTS:
+        raise ValueError(f"at most {MOST_PARTS} parts")
+    kinds = ", ".join(f"p{i}: array<struct<dim:int,val:float>>" if sparse else f"p{i}: array<float>" for i, (sparse, _) in enumerate(parts))
+
+    def run(frames):
+        for frame in frames:
+            for data in frame["content"]:
+                n, own = fusion_parts(data)
+                if own != parts:
+                    raise ValueError("files of different parts")
+                at, out = 8 + 8 * len(parts), []
+                for i in range(n):
+                    (size,) = struct.unpack_from("<I", data, at)
+                    name = data[at + 4 : at + 4 + size].decode()
+                    at += 4 + size
+                    record = {}
+                    for k, (sparse, width) in enumerate(parts):
+                        if sparse:
+                            (count,) = struct.unpack_from("<I", data, at)
+                            pairs = sorted(struct.unpack_from("<If", data, at + 4 + 8 * j) for j in range(count))
+                            record[f"p{k}"] = [{"dim": d, "val": v} for d, v in pairs]
+                            at += 4 + 8 * count
+                        else:
+                            record[f"p{k}"] = np.frombuffer(data, "<f4", width, at).tolist()
+                            at += 4 * width
+                    out.append((i, name, record))
+                yield pd.DataFrame(out, columns=["id", "extern_id", "vec"])
+
+    return files.mapInPandas(run, f"id long, extern_id string, vec struct<{kinds}>")
+
+
+def read_fusion_weights(lines: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """Index-time and query-time weights of the parts of such records, from one line for each kind: ``queryWeights:``
+    or ``indexWeights:`` and as many numbers as there are parts."""
+    found: dict[str, list[float]] = {}
+    for line in lines:
+        name, colon, rest = line.strip().partition(":")
+        if colon and name in ("queryWeights", "indexWeights"):
+            found[name] = [float(x) for x in rest.replace(",", " ").split()]
+    if len(found) != 2 or not found["queryWeights"] or len(found["queryWeights"]) != len(found["indexWeights"]):
+        raise ValueError("expected as many query weights as index weights, and at least one")
+    named = lambda values: {f"p{i}": v for i, v in enumerate(values)}
+    return named(found["indexWeights"]), named(found["queryWeights"])
+
+
 def _labelled(body: Column, label: bool) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("label:"), F.col("label").cast("string"), F.lit(" ")), F.lit("")), body) if label else body
 
