@@ -210,6 +210,10 @@ def test_targets_out_of_reach(docs, labels):
     targets = {"clean": 0.2, "toxic": 0.0, "poor": 0.8}
     said = {r.domain: r for r in op5.report(op5.with_rates(rows, op5.solve(rows, targets)), targets).collect()}
     assert said["poor"].gap < -0.5 and said["clean"].gap > 1
+    mixed = {"clean": 0.3, "toxic": 0.002, "poor": 0.698}  # one domain in reach, one not
+    plan = op5.solve(rows, mixed)
+    said = {r.domain: r for r in op5.report(op5.with_rates(rows, plan), mixed).collect()}
+    assert len(plan.steps) < 8 and said["toxic"].tokens / said["clean"].tokens == pytest.approx(0.002 / 0.3, rel=0.005) and said["poor"].gap < 0
     plan = op5.solve(rows, targets, most=1e6)
     said = {r.domain: r for r in op5.report(op5.with_rates(rows, plan), targets).collect()}
     assert abs(said["poor"].gap) < 0.01 and abs(said["clean"].gap) < 0.01

@@ -244,18 +244,23 @@ def solve(rows: DataFrame, targets: dict[str, float] | None = None, domains: tup
         raise ValueError("rates start at 1")
     others = [i for i in range(len(domains)) if i != w]
     ratio = share / share[w]
-    plan, before = Plan(float(most), []), None
+    plan, before, taken = Plan(float(most), []), None, np.zeros(len(domains))
     while len(plan.steps) < STEPS:
         now, moments = _totals(rows, plan, len(domains))
         gap = now - ratio * now[w]
-        if not now.sum() or (np.abs(gap[others]) <= CLOSE * ratio[others] * now[w]).all() or before is not None and np.abs(now - before).max() <= 1e-9 * now.sum():
+        # where rates are 1 at most, a domain below its target is left alone: all that was taken off it can come back, no more
+        active = [i for i in others if most > 1 or gap[i] > 0 or taken[i] > 0]
+        if not now.sum() or (np.abs(gap[active]) <= CLOSE * ratio[active] * now[w]).all() or before is not None and np.abs(now - before).max() <= 1e-9 * now.sum():
             break
         # the gaps' change for one unit off the rates along each domain's posterior, over the rows that can move
-        slope = (moments - ratio[:, None] * moments[w][None, :])[np.ix_(others, others)]
+        slope = (moments - ratio[:, None] * moments[w][None, :])[np.ix_(active, active)]
         ridge = 1e-9 * max(float(np.trace(np.abs(slope))), 1e-30)
         step = np.zeros(len(domains))
-        step[others] = np.linalg.solve(slope + ridge * np.eye(len(others)), gap[others])
-        plan.steps.append(np.clip(step, -most, most))
+        step[active] = np.clip(np.linalg.solve(slope + ridge * np.eye(len(active)), gap[active]), -most, most)
+        if most <= 1:
+            step = np.maximum(step, -taken)
+        plan.steps.append(step)
+        taken += step
         before = now
     return plan
 
