@@ -215,3 +215,18 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_hubs_of_components(spark, monkeypatch):
+    from vicinity.llm import _common
+
+    monkeypatch.setattr(_common, "HUB", 3)
+    r = random.Random(2)
+    links = [(7, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(r.randint(300, 330), r.randint(300, 330)) for _ in range(40)] + [(159, 200)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {x: x for e in links for x in e if e[0] != e[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
