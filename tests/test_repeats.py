@@ -22,7 +22,7 @@ def asked(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["leven", "leven_char"])
+@pytest.mark.parametrize("name", ["leven", "leven_char", "normleven"])
 def test_names_that_repeat_are_compared_once(spark, small, asked, name):
     folder = small.replace("sf0.001", "sf0.1")
     parts = spark.read.parquet(f"{folder}/part.parquet")
