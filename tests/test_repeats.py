@@ -46,7 +46,7 @@ def test_distinct_payloads_give_the_same_rows(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("name", ["sqfd_minus", "sqfd_heuristic", "sqfd_gaussian", "fusion_negdot", "js_div_expression", "knn_cosine_expression"])
+@pytest.mark.parametrize("name", ["sqfd_minus", "sqfd_heuristic", "sqfd_gaussian", "fusion_negdot", "js_div_expression", "knn_cosine_expression", "sparse_cosine_expression"])
 def test_points_far_away_need_no_expression(spark, small, asked, name):
     assert catalog.queries()[name](spark, small).count() > 0
     assert sum(asked) == 0
@@ -87,7 +87,7 @@ def _rows(df):
     return {(x.query_id, x.rank, x.id, repr(x.dist)) for x in df.collect()}
 
 
-@pytest.mark.parametrize(("space", "params"), [("sqfd_minus_func", {}), ("sqfd_heuristic_func", {"alpha": 0.5}), ("sqfd_gaussian_func", {"alpha": 2.0}), ("fusion", {}), ("jsdivfast", {}), ("cosinesimil", {})])
+@pytest.mark.parametrize(("space", "params"), [("sqfd_minus_func", {}), ("sqfd_heuristic_func", {"alpha": 0.5}), ("sqfd_gaussian_func", {"alpha": 2.0}), ("fusion", {}), ("jsdivfast", {}), ("cosinesimil", {}), ("cosinesimil_sparse", {})])
 def test_refined_search_gives_the_same_rows(spark, space, params):
     kind, some, odd = _payloads(space, random.Random(9))
     dist, bounds = space, None
