@@ -40,6 +40,42 @@ def test_finer_buckets_change_nothing():
         assert (op3.repeats_in(data, offsets, 64, chunk=chunk) == op3.repeated_starts(data, offsets[1:], 64)).all()
 
 
+def contexts(parts, n, gram):
+    """Distinct contexts of the buckets' runs of texts, end to end, their offsets, and which stand once."""
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    row, _, a, z, _ = op3.bucket_runs(data, offsets, n, gram)
+    count = Counter(data[offsets[i] + x : offsets[i] + y + n].tobytes() for i, x, y in zip(row, a, z, strict=True))
+    return np.frombuffer(b"".join(count), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in count]))), np.array([x == 1 for x in count.values()])
+
+
+@pytest.mark.parametrize("chunk", [op3.CHUNK, 700])
+def test_windows_left_out_do_not_repeat(chunk, monkeypatch):
+    monkeypatch.setattr(op3, "CHUNK", chunk)
+    r = random.Random(8)
+    for _ in range(60):
+        alphabet, n, gram = r.choice([b"ab", b"abcdefgh ", bytes(range(256))]), r.choice([33, 64, 91]), r.choice([8, 9, 16])
+        word = lambda n: bytes(r.choice(alphabet) for _ in range(n))  # noqa: B023, E731
+        base = [word(r.randint(20, 300)) for _ in range(4)] + [word(5) * 30]
+        parts = [word(r.randint(0, 60)) + r.choice(base)[r.randint(0, 20) :][: r.randint(20, 300)] + word(r.randint(0, 60)) for _ in range(20)] + base[:2]
+        data, offsets, once = contexts(parts, n, gram)
+        if len(data):
+            own = np.repeat(once, np.diff(offsets))
+            assert (op3.repeats_of_once(data, offsets, once, n, gram) == op3.repeated_starts(data, offsets[1:], n))[own].all()
+
+
+def test_windows_without_a_common_half_are_not_expanded(monkeypatch):
+    r = random.Random(9)
+    word = lambda n: bytes(r.randint(97, 122) for _ in range(n))
+    seen, expand = [], op3.repeats_in
+    monkeypatch.setattr(op3, "repeats_in", lambda data, *rest: seen.append(len(data)) or expand(data, *rest))
+    short, long = word(210), word(420)
+    for shared, most in ((short, 0), (long, 2 * 1200)):
+        data, offsets, once = contexts([word(600) + shared + word(600) for _ in range(2)], op3.LENGTH, op3.GRAM)
+        again = op3.repeats_of_once(data, offsets, once, op3.LENGTH, op3.GRAM)
+        assert again.sum() == (0 if shared is short else 2 * 21)
+        assert sum(seen) <= most
+
+
 def removed(rows, n=op3.LENGTH):
     count = Counter()
     for _, t in rows:

@@ -5,9 +5,11 @@ length belongs to a bucket that follows from its content alone: the least hash o
 Neighbouring windows of a bucket make one context, so each window start is in one context and equal windows are in
 equal buckets. Buckets that occur once are done; the contexts of the others are cut from the texts, equal contexts
 become one with a count, and buckets are worked off in chunks: the contexts of a chunk are joined, their suffixes
-sorted and the Burrows-Wheeler transform taken. From intervals of suffixes that share a few bytes, breadth-first
-backward extension finds the intervals that share one byte more, and so the common prefix of neighbouring suffixes
-by increasing value; it stops at ``LENGTH``. Neighbours whose common prefix is still unknown then are repeats.
+sorted and the Burrows-Wheeler transform taken. Before that, windows are left out that share no half with another:
+every window holds its bucket's least string and has half of its other bytes on one side of it, so equal windows
+have that half in common too. From intervals of suffixes that share a few bytes, breadth-first backward extension
+finds the intervals that share one byte more, and so the common prefix of neighbouring suffixes by increasing value;
+it stops at ``LENGTH``. Neighbours whose common prefix is still unknown then are repeats.
 
 The same is done a second time over words: passages of ``PASSAGE`` words or more (over fifty) that also start
 elsewhere, wherever lines break, are counted beside; they are no reason to remove a byte.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, flat_bytes, groups, mapped, mixed, slices, whole_text, word_places, written
+from ._common import documents, flat_bytes, groups, mapped, mixed, slices, whole_text, written
 
 LENGTH = 400
 GRAM = 64
@@ -69,28 +71,34 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a rolling polynomial before each place and at the end, and the factors that take a place's turn out."""
+    up, down = _power(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * up, out=sums[1:])
+    return sums, down
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of every ``gram`` bytes (or words, given as hashes), by a rolling polynomial."""
     n = len(data) - gram + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
+    sums, down = _rolling(data)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * up)))
         return mixed((sums[gram:] - sums[:-gram]) * down[:n])
 
 
 def window_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of every ``width`` neighbours, from running minima to both sides of block edges."""
-    n = len(values) - width + 1
-    if n < 1:
+    """The minimum of every ``width`` neighbours, from minima of twice as many in each step."""
+    if len(values) < width:
         return np.zeros(0, values.dtype)
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, values.dtype)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    have = 1
+    while have < width:
+        more = min(have, width - have)
+        values, have = np.minimum(values[:-more], values[more:]), have + more
+    return values
 
 
 def bucket_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -99,24 +107,30 @@ def bucket_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     hashes, width = gram_hashes(data, gram), length - gram + 1
     keys = window_least(hashes, width)
     starts = np.maximum(np.diff(offsets) - length + 1, 0)
-    row = np.repeat(np.arange(len(starts)), starts)
-    if not len(row):
-        return row, np.zeros(0, np.int64), row, row, np.zeros(0, bool)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
-    key = keys[offsets[:-1][row] + place]
-    cut = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (place[1:] % PIECE == 0)))
-    first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(row)) - 1
+    if not starts.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, bool)
+    # runs begin where a row does, where the key changes and every ``PIECE`` starts; starts whose window leaves the row are none
+    own = offsets[:-1][starts > 0]
+    cut = np.concatenate(([True], keys[1:] != keys[:-1]))
+    cut[own] = True
+    for i in np.flatnonzero(starts > PIECE):
+        cut[offsets[i] : offsets[i] + starts[i] : PIECE] = True
+    cut &= np.repeat(np.tile([True, False], len(starts)), np.stack((starts, np.diff(offsets) - starts), axis=1).ravel())[: len(keys)]
+    begin = np.flatnonzero(cut)
+    row = np.searchsorted(offsets, begin, "right") - 1
+    first = begin - offsets[row]
+    last = np.minimum(np.append(begin[1:], len(keys)) - 1 - offsets[row], starts[row] - 1)
     # the least strings of all windows: those whose hash is the largest minimum of the windows around them
     edge = np.full(width - 1, ~np.uint64(0))
     least = np.flatnonzero(~window_least(np.concatenate((edge, ~keys, edge)), width) == hashes)
-    begin = offsets[:-1][row[first]] + place[first]
     low = np.searchsorted(least, begin, "left")
     count = np.searchsorted(least, begin + (last - first) + width, "left") - low
     run = np.repeat(np.arange(len(first)), count)
     at = least[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    many = np.bincount(run[hashes[at] == key[first][run]], minlength=len(first)) > 1
-    return row[first], key[first].view(np.int64), place[first], place[last], many
+    key = keys[begin]
+    many = np.bincount(run[hashes[at] == key[run]], minlength=len(first)) > 1
+    return row, key.view(np.int64), first, last, many
 
 
 def suffix_order(data: np.ndarray, left: np.ndarray, depth: int, bits: int, pack: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,34 +140,39 @@ def suffix_order(data: np.ndarray, left: np.ndarray, depth: int, bits: int, pack
     from every other. Order comes by doubling: suffixes that are still equal are sorted by the ranks further on.
     """
     n = len(data)
-    padded = np.concatenate((data, np.zeros(pack, data.dtype))).astype(np.int64) + 1
-    word = np.zeros(n, np.int64)
-    for j in range(pack):
-        word = (word << bits) | np.where(left > j, padded[j : j + n], 0)
+    word, have = np.zeros(n + 2 * pack, np.int64), 1
+    word[:n] = data
+    word[:n] += 1
+    while have < pack:
+        more = min(have, pack - have)
+        word = (word[:-have] << (bits * more)) | (word[have:] >> (bits * (have - more)))
+        have += more
+    word = word[:n]
+    near = np.flatnonzero(left < pack)
+    beyond = bits * (pack - left[near])
+    word[near] = (word[near] >> beyond) << beyond
     order = np.argsort(word)
     held = word[order]
+    # of the places in the order that are still open: where a group begins, and the first place of each one's group
     new = np.concatenate(([True], held[1:] != held[:-1]))
-    rank = np.full(n + 1, -1, np.int64)
-    group = np.flatnonzero(new)[np.cumsum(new) - 1]
-    rank[order] = group
-    have, at = pack, np.arange(n)
+    at = np.arange(n)
+    own = np.flatnonzero(new)[np.cumsum(new) - 1]
+    rank = np.zeros(n + 2 * max(depth, pack), np.int32 if n < 1 << 30 else np.int64)
+    rank[order] = own
     while have < depth:
-        # of each open group, the members' places in the order
-        begins = np.flatnonzero(new[at])
-        size = np.diff(np.append(begins, len(at)))
-        at = at[np.repeat(size > 1, size)]
+        shared = ~(new & np.append(new[1:], True))
+        at, own = at[shared], own[shared]
         if not len(at):
             break
         places = order[at]
         # what ended before has its place as rank, all others have the rank of what follows
-        second = np.where(left[places] <= have, places, n + rank[np.minimum(places + have, n)])
-        by = np.argsort(group[at] * (2 * n + 1) + second)
-        places, second, own = places[by], second[by], group[at]
+        second = np.where(left[places] <= have, places, n + rank[places + have].astype(np.int64))
+        by = np.argsort(own * (2 * n + 1) + second)
+        places, second = places[by], second[by]
         order[at] = places
-        split = np.concatenate(([True], (second[1:] != second[:-1]) | (own[1:] != own[:-1])))
-        new[at] = split
-        group[at] = at[np.flatnonzero(split)][np.cumsum(split) - 1]
-        rank[places] = group[at]
+        new = np.concatenate(([True], (second[1:] != second[:-1]) | (own[1:] != own[:-1])))
+        own = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        rank[places] = own
         have *= 2
     return order, word
 
@@ -161,16 +180,16 @@ def suffix_order(data: np.ndarray, left: np.ndarray, depth: int, bits: int, pack
 def _shared_head(words: np.ndarray, order: np.ndarray, left: np.ndarray, n: int, form: tuple[int, int, int]) -> np.ndarray:
     """Common prefix of each suffix with the one before it in order, as far as the form's head."""
     bits, pack, head = form
-    total = np.zeros(n - 1, np.int64)
-    going = np.ones(n - 1, bool)
+    total = np.zeros(n - 1, np.int8)
+    far = left[order]
     for part in range(head // pack):
-        at = np.minimum(order + part * pack, n - 1)
-        w = np.where(left[order] > part * pack, words[at], 0)
+        w = np.where(far > part * pack, words[np.minimum(order + part * pack, n - 1)], 0)
         differ = w[1:] ^ w[:-1]
+        if part:
+            differ[total < part * pack] = np.iinfo(np.int64).max
         for j in range(pack):
-            going &= (differ >> (bits * (pack - 1 - j))) == 0
-            total += going
-    return np.minimum(total, np.minimum(left[order[1:]], left[order[:-1]]))
+            total += differ < 1 << (bits * j)
+    return np.minimum(total, np.minimum(far[1:], far[:-1]))
 
 
 def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -187,7 +206,8 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) ->
         raise ValueError(f"length must be above {head_size}")
     if data.dtype != np.uint8:
         data = np.unique(data, return_inverse=True)[1]
-    left = ends[np.searchsorted(ends, np.arange(n), "right")] - np.arange(n)
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    left = left.astype(np.int32 if n < 1 << 30 else np.int64)
     order, words = suffix_order(data, left, length, *form[:2])
     # common prefix of the suffixes i - 1 and i; those below the head directly, -1: not known yet
     known = np.full(n + 1, -1, np.int32)
@@ -266,13 +286,86 @@ def repeats_in(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, leve
     return out
 
 
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+def _halves(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The halves around each place of each context's least string: on which side, hash, context, and first and last
+    start of the windows that have this half whole (and the smaller part of the other)."""
+    (sums, down), size = _rolling(data), np.diff(offsets)
+    hashes = np.full(len(data), ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        hashes[: len(data) - gram + 1] = mixed((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1])
+    # strings that reach over a context's end
+    hashes[np.repeat(offsets[1:], gram - 1) - np.tile(np.arange(1, gram), len(size))] = ~np.uint64(0)
+    at = np.flatnonzero(hashes == np.repeat(np.minimum.reduceat(hashes, offsets[:-1]), size))
+    of = np.searchsorted(offsets, at, "right") - 1
+    low, high = offsets[of], offsets[of + 1] - length
+    half = (length - gram + 1) // 2
+    parts = []
+    # windows have ``half`` symbols or more before the string, or fewer and so ``rest`` or more behind it
+    for side, first, last, begin, reach in ((0, at + gram - length, at - half, at - half, half + gram), (1, at - half + 1, at, at, length - half + 1)):
+        first, last = np.maximum(first, low), np.minimum(last, high)
+        some = np.flatnonzero(first <= last)
+        begin = begin[some]
+        with np.errstate(over="ignore"):
+            key = mixed((sums[begin + reach] - sums[begin]) * down[begin])
+        parts.append((np.full(len(some), side), key, of[some], first[some], last[some]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def may_repeat(data: np.ndarray, offsets: np.ndarray, once: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of window starts (first, last; none crosses contexts) outside of which no window of a context that was seen
+    ``once`` repeats: the others have no half in common with another place. All windows of a context must hold its
+    least ``gram`` symbols, as those of a bucket's runs do; windows of contexts that came more often are repeats anyway,
+    and are here only where one seen once has the same half.
+    """
+    parts, a = [], 0
+    while a < len(offsets) - 1:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        side, key, of, first, last = _halves(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], length, gram)
+        parts.append((side, key, of + a, first + offsets[a], last + offsets[a]))
+        a = z
+    side, key, of, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort((key, side))
+    new = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (side[by][1:] != side[by][:-1])))
+    group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+    met = (np.diff(np.append(begins, len(by))) > 1) & np.logical_or.reduceat(once[of[by]], begins)
+    first, last, of = (x[by][met[group]] for x in (first, last, of))
+    # overlapping and adjoining ranges of a context are one
+    by = np.argsort(first, kind="stable")
+    first, last, of = first[by], np.maximum.accumulate(last[by]), of[by]
+    new = np.flatnonzero(np.concatenate(([True], (first[1:] > last[:-1] + 1) | (of[1:] != of[:-1])))[: len(first)])
+    return first[new], last[np.append(new[1:], len(first))[: len(new)] - 1]
+
+
+def repeats_of_once(data: np.ndarray, offsets: np.ndarray, once: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """``repeats_in`` of the windows that may repeat; it holds for the contexts that were seen ``once``."""
+    out = np.zeros(len(data), bool)
+    first, last = may_repeat(data, offsets, once, length, gram)
+    if len(first):
+        lengths = last - first + length
+        inner = np.concatenate(([0], np.cumsum(lengths)))
+        places = np.repeat(first - inner[:-1], lengths) + np.arange(inner[-1])
+        out[places[repeats_in(data[places], inner, length)]] = True
+    return out
+
+
+WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of all rows, the rows' offsets among them, and where each word starts and ends."""
-    word, row, length, start = word_places(data, offsets, ~BLANK[data])
-    return word, np.searchsorted(row, np.arange(len(offsets))), start, start + length
+    inside = WORD[data]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    # words never cross rows
+    some = np.diff(offsets) > 0
+    edge, last = offsets[:-1][some], offsets[1:][some] - 1
+    begins[edge], stops[last] = inside[edge], inside[last]
+    start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    sums, down = _rolling(data)
+    with np.errstate(over="ignore"):
+        word = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
+    return word, np.searchsorted(start, offsets), start, end
 
 
 def _tagged(bucket: np.ndarray, kind: int) -> np.ndarray:
@@ -393,12 +486,13 @@ def found_repeats(contexts: DataFrame) -> DataFrame:
         data, offsets = flat_bytes(table.column("body").combine_chunks())
         if kind:
             symbols, cut, start, end = _words(data, offsets)
-            length = PASSAGE
+            length, gram = PASSAGE, PASSAGE_GRAM
         else:
-            symbols, cut, length = data, offsets, LENGTH
-        again = repeats_in(symbols, cut, length)
+            symbols, cut, length, gram = data, offsets, LENGTH, GRAM
+        more = table.column("n").to_numpy() > 1
+        again = repeats_of_once(symbols, cut, ~more, length, gram)
         size = np.diff(cut)
-        copied = np.repeat(table.column("n").to_numpy() > 1, size)
+        copied = np.repeat(more, size)
         place = np.arange(len(symbols)) - np.repeat(cut[:-1], size)
         hit = (again | copied) & (place <= np.repeat(size, size) - length)
         edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
